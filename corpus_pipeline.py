@@ -1,16 +1,62 @@
-"""A corpus pipeline of the stages language ID, line dedup, SimHash near-dedup, mixing and packing."""
+"""A corpus pipeline: language ID, line dedup, SimHash near-dedup, mixing of sources, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from veritrail.llm import langid, lines, mixing, packing, simhash
 from veritrail.llm.common import materialise, read_table
 
-STAGES: list = []
+#: Near-duplicates of the pipeline: shingles of five words, at most this many of 64 bits apart (an expected
+#: similarity well above 0.8).
+WORDS, RADIUS = 5, 3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the model rejects (no letter, or too little confidence)."""
+    return langid.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated lines out of the texts; n_chars follows."""
+    done = lines.dedup_lines(docs)
+    return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return simhash.keep_one(docs, WORDS, RADIUS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources get their target weights; shuffled."""
+    return mixing.mix(docs, docs.columns).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places the pieces of all documents in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_dedup", dedup_documents),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+#: The stages train a model and draw bit fingerprints, which SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each written as Parquet and read again."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
