@@ -88,8 +88,8 @@ def losers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.struct("doc_id", "line_no").alias("place"), _half_keys(line).alias("keys"))
     classes = materialise(hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-classes")
     halves = classes.select("place", F.explode("keys").alias("k")).select("place", "k.side", "k.less", "k.key")
-    # only a shared half of lines that count as equally long can join them
-    met = halves.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
+    # a half must be shared, and a line taken as one shorter needs a line of that length
+    met = halves.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("less").alias("low")).where("n > 1 and low = 0").select("side", "key")
     shared = materialise(halves.join(met, ["side", "key"], "left_semi"), "line-shared")
     wanted = materialise(shared.select("place").distinct(), "line-wanted")
     places = lines.select(F.struct("doc_id", "line_no").alias("place"), "line")
