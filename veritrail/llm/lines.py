@@ -95,7 +95,7 @@ def losers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     places = lines.select(F.struct("doc_id", "line_no").alias("place"), "line")
     texts = materialise(places.join(_small(wanted, 64), "place", "left_semi").groupBy("place").agg(F.first("line").alias("line")), "line-texts")
     filled = shared.join(texts, "place").select("place", "less", "key", _other_half(line, F.col("side"), F.col("less")).alias("rest"))
-    variants = _variants(filled)
+    variants = materialise(_variants(filled), "line-variants")
     first = lambda role: F.min(F.when(F.col("role") == role, F.col("place"))).alias(f"p{role}")
     groups = variants.groupBy("v").agg(first(0), first(1), first(2), F.max("place").alias("last"))
     alive = groups.where((F.col("p0") < F.col("last")) | (F.col("p1").isNotNull() & F.col("p2").isNotNull()))
