@@ -90,7 +90,8 @@ def losers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     halves = classes.select("place", F.explode("keys").alias("k")).select("place", "k.side", "k.less", "k.key")
     # a half must be shared, and a line taken as one shorter needs a line of that length
     met = halves.groupBy("side", "key").agg(F.count("*").alias("n"), F.min("less").alias("low")).where("n > 1 and low = 0").select("side", "key")
-    shared = materialise(halves.join(met, ["side", "key"], "left_semi"), "line-shared")
+    # few rows in many partitions: gathered into few files
+    shared = materialise(halves.join(met, ["side", "key"], "left_semi").hint("rebalance"), "line-shared")
     wanted = materialise(shared.select("place").distinct(), "line-wanted")
     places = lines.select(F.struct("doc_id", "line_no").alias("place"), "line")
     texts = materialise(places.join(_small(wanted, 64), "place", "left_semi").groupBy("place").agg(F.first("line").alias("line")), "line-texts")
