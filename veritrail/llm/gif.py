@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 
 #: Payloads are padded to whole rows of this many samples; a frame holds up to ROWS of them.
 WIDTH, ROWS = 576, 64
@@ -253,7 +253,7 @@ def encode_payloads(docs: DataFrame) -> DataFrame:
                 made = [padded(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": [n for _, n in made], "media": [encode(p) for p, _ in made]})
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     return source.mapInPandas(store, "doc_id long, n_bytes long, media binary")
 
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 
 UNKNOWN = "und"
 #: Bound on the training sample.
@@ -155,7 +157,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], fold: np.
 
 def fit(docs: DataFrame) -> LanguageModel:
     """Learn from doc_id, text, lang (rows of null text or lang are left out)."""
-    labelled = docs.where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "lang", "text")
+    labelled = bounded_batches(docs).where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "lang", "text")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))

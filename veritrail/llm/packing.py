@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import bounded_batches, materialise, text_or_empty
 from .tokens import encoder, vocabulary
 
 CAPACITY = 4096
@@ -128,13 +128,14 @@ def _pack_partition(frames: Iterator[pd.DataFrame], path: str, capacity: int, en
 def _merge_group(frame: pd.DataFrame, level: int, capacity: int, last: bool) -> pd.DataFrame:
     grp = int(frame["grp"].iloc[0]) // FAN_IN
     frame = frame.sort_values("sequence_id")
-    groups = [list(zip(*cols, strict=True)) for cols in zip(*(frame[c] for c in _ITEMS[:-1]), strict=True)]
+    plain = [[[None if pd.isna(x) else int(x) for x in c] for c in frame[name]] for name in _ITEMS[:-1]]
+    groups = [list(zip(*cols, strict=True)) for cols in zip(*plain, strict=True)]
     packed = best_fit([sum(it[3] for it in g) for g in groups], capacity)
     bins = [[it for k in b for it in groups[k]] for b in packed]
     base = (level << 56) + (grp << 32)
     rows, held = _settle(bins, grp, base, capacity, last)
     rows += [_bin_row(grp, base + len(rows) + k, True, items) for k, items in enumerate(held)]
-    return _frame([(*r[:4], *([None if pd.isna(x) else int(x) for x in c] for c in r[4:])) for r in rows])
+    return _frame(rows)
 
 
 def _merger(level: int, capacity: int, last: bool):
@@ -150,7 +151,7 @@ def pack_documents(docs: DataFrame, vocabulary_name: str = VOCABULARY, capacity:
     def pack(frames):
         return _pack_partition(frames, vocabulary(vocabulary_name), capacity, end_id)
 
-    source = docs.select(F.spark_partition_id().cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = bounded_batches(docs).select(F.spark_partition_id().cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     bins = materialise(source.mapInPandas(pack, _BINS), "pack-0")
     done, level = [bins.where("not open")], 0
     groups = bins.agg(F.max("grp").alias("top")).first()["top"]

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, materialise, text_or_empty
+from .common import bounded_batches, fits_broadcast, materialise, text_or_empty
 from .components import connected_components, merge_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -62,7 +62,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": np.array([fingerprint(t, words) for t in frame["text"]], dtype=np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(compute, "doc_id long, fp long")
+    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(compute, "doc_id long, fp long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:

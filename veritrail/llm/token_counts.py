@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path, text_or_empty
+from .common import bounded_batches, materialise, scratch_path, text_or_empty
 from .tokens import encoder, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary_name
     cached = read_cache(spark, cache_path, version)
     content = F.regexp_replace(F.col("text"), "[ \\t\\n\\r]+", " ")
     digest = F.unhex(F.sha2(F.concat(F.lit(version + ":"), content), 256))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     keyed = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
 
     def squeeze(frames):

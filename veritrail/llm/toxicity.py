@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import bounded_batches, text_or_empty
 from .langid import held_out_column
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_500, 100_000
@@ -176,5 +176,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [score(t, model) for t in frame["text"]]})
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(rate, "doc_id long, score double")
+    out = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(rate, "doc_id long, score double")
     return out.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
