@@ -114,3 +114,18 @@ def test_verdict_rules(spark, train, test, verdict, flipped):
 
 def test_critical_value_is_printed(spark):
     assert "2.36" in classify_overfitting(s(1, 1.0, 8), s(1, 5))[1]
+
+
+@pytest.mark.parametrize("constant", [False, True])
+def test_merged_cells_equal_direct_evaluation(spark, constant):
+    rng = np.random.default_rng(9)
+    n = 200
+    y = np.full(n, 0.1) if constant else rng.normal(0.2, 1, n)
+    df = frame(spark, y, g=rng.random(n) < 0.5, c=rng.integers(0, 6, n), day=rng.integers(0, 15, n)).withColumn("half", F.col("day") % 2)
+    for spec in (stats.vs_zero("v"), stats.vs_zero("v", cluster="c"), stats.group_diff("v", "g"), stats.group_diff("v", "g", cluster="c")):
+        want = {r.half: r for r in stats.evaluate(df, spec, ["half"]).collect()}
+        parts = stats.cells(df, spec, ["day"]).withColumn("half", F.col("day") % 2)
+        for r in stats.evaluate_cells(parts, spec, ["half"]).collect():
+            w = want[r.half]
+            assert (r.n, r.n_rows, r.n_clusters, r.df, r.significant) == (w.n, w.n_rows, w.n_clusters, w.df, w.significant)
+            assert math.isclose(r.mean, w.mean, rel_tol=1e-9, abs_tol=1e-12) and (r.t_stat == w.t_stat or constant or math.isclose(r.t_stat, w.t_stat, rel_tol=1e-9))

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from .stats import STAT_FIELDS, StatResult, StatSpec, evaluate, evaluate_callable, to_result
+from .stats import STAT_FIELDS, StatResult, StatSpec, cells, evaluate, evaluate_callable, evaluate_cells, to_result
 from .timeline import KEY, date_key, date_sort_key, histogram, shifted, snapped
 from .verdict import classify
 
@@ -138,12 +138,18 @@ def cpcv_paths(
     short = (F.col("n_train") < min_n_per_split) | (F.col("n_test") < min_n_per_split)
     # the paths and roles of a date travel as one list, so that each row meets its date once
     listed = plan.where("role in ('train', 'test')").groupBy(KEY).agg(F.collect_list(F.struct("test_groups", "role")).alias("uses"))
-    rows = keyed.join(listed, KEY).withColumn("use", F.explode("uses")).drop("uses")
-    rows = rows.select("*", F.col("use.test_groups").alias("test_groups"), F.col("use.role").alias("role")).drop("use")
-    if isinstance(stat, StatSpec):
-        stats = evaluate(rows, stat, ["test_groups", "role"])
+    by = ["test_groups", "role"]
+
+    def used(dated: DataFrame) -> DataFrame:
+        each = dated.join(listed, KEY).withColumn("use", F.explode("uses")).drop("uses")
+        return each.withColumns({"test_groups": F.col("use.test_groups"), "role": F.col("use.role")}).drop("use")
+
+    if isinstance(stat, StatSpec) and stat.maxlags is None:  # rows are read once; dates are merged into paths
+        stats = evaluate_cells(used(cells(keyed, stat, [KEY])), stat, by)
+    elif isinstance(stat, StatSpec):
+        stats = evaluate(used(keyed), stat, by)
     else:
-        stats = evaluate_callable(rows.select("test_groups", "role", *df.columns), stat, ["test_groups", "role"], [date_col])
+        stats = evaluate_callable(used(keyed).select(*by, *df.columns), stat, by, [date_col])
     pick = lambda r: F.max(F.when(F.col("role") == r, F.struct(*STAT_FIELDS))).alias(r)
     both = counts.join(stats.groupBy("test_groups").agg(pick("train"), pick("test")), "test_groups", "left").withColumn("skipped", short)
     both = both.withColumn("c", F.when(~F.col("skipped"), classify(F.col("train"), F.col("test"), significance_t)))

@@ -67,61 +67,95 @@ def significant(t: Column, df: Column, significance_t: float | None = None, alph
 def evaluate(rows: DataFrame, spec: StatSpec, by: Sequence[str] = ()) -> DataFrame:
     """One row per group of ``by`` (one row in all without): the columns of STAT_SCHEMA and n_rows, the rows
     before cleaning.  Group columns must not be null."""
-    by, diff = list(by), spec.group is not None
+    by = list(by)
+    if spec.maxlags is not None and not spec.order:
+        raise ValueError("Newey-West statistics need order columns")
+    data = _picked(rows, spec, by)
+    base = data.groupBy(*by).agg(F.count("*").alias("n_rows"), *_side("1", F.col("__g")), *_side("0", ~F.col("__g")))
+    base = _with_model(base, spec)
+    hac = _lag_products(data, base, spec, by) if spec.maxlags is not None else None
+    sums = None
+    if spec.cluster is not None:
+        yes, no = F.when(F.col("__g"), F.col("__v")), F.when(~F.col("__g"), F.col("__v"))
+        sums = data.where("__v is not null").groupBy(*by, "__c").agg(F.sum(yes).alias("s1"), F.count(yes).alias("k1"), F.sum(no).alias("s0"), F.count(no).alias("k0"))
+    return _finish(base, spec, by, hac, sums)
+
+
+def _picked(rows: DataFrame, spec: StatSpec, by: list[str]) -> DataFrame:
+    """by, __v (null where the row is not clean), __g, and what cluster and order need."""
     v = as_column(spec.value).cast("double")
-    ok = finite(v) & finite(as_column(spec.group).cast("double")) if diff else finite(v)
-    side = as_column(spec.group).cast("double") != 0 if diff else F.lit(True)
+    ok = finite(v) & finite(as_column(spec.group).cast("double")) if spec.group is not None else finite(v)
+    side = as_column(spec.group).cast("double") != 0 if spec.group is not None else F.lit(True)
     picked = [*(F.col(b) for b in by), F.when(ok, v).alias("__v"), F.when(ok, side).alias("__g")]
     if spec.cluster is not None:
-        c = as_column(spec.cluster)
         blank = F.raise_error(F.lit("cluster labels are missing on rows that are tested")).cast("string")
-        picked.append(F.when(ok, F.coalesce(c.cast("string"), blank)).alias("__c"))
-    picked += [as_column(o).alias(f"__o{k}") for k, o in enumerate(spec.order)]
-    data = rows.select(*picked)
-    if spec.maxlags is not None and not spec.order:
-        raise ValueError("Newey-West statistics need order columns")
+        picked.append(F.when(ok, F.coalesce(as_column(spec.cluster).cast("string"), blank)).alias("__c"))
+    return rows.select(*picked, *(as_column(o).alias(f"__o{k}") for k, o in enumerate(spec.order)))
 
-    yes, no = F.when(F.col("__g"), F.col("__v")), F.when(~F.col("__g"), F.col("__v"))
-    base = data.groupBy(*by).agg(
-        F.count("*").alias("n_rows"),
-        F.count(yes).alias("n1"), F.avg(yes).alias("m1"), (F.var_pop(yes) * F.count(yes)).alias("q1"),
-        F.count(no).alias("n0"), F.avg(no).alias("m0"), (F.var_pop(no) * F.count(no)).alias("q0"),
-    )
+
+def _side(tag: str, where: Column) -> list[Column]:
+    """Count, mean and sum of squared deviations of one side of the comparison."""
+    v = F.when(where, F.col("__v"))
+    return [F.count(v).alias(f"n{tag}"), F.avg(v).alias(f"m{tag}"), (F.var_pop(v) * F.count(v)).alias(f"q{tag}")]
+
+
+def cells(rows: DataFrame, spec: StatSpec, by: Sequence[str]) -> DataFrame:
+    """Sufficient statistics per group of ``by`` (and cluster): they can be merged into coarser groups by
+    ``evaluate_cells`` as often as needed, while the rows are read once."""
+    edges = [f(F.when(w, F.col("__v"))).alias(n + t) for t, w in (("1", F.col("__g")), ("0", ~F.col("__g"))) for n, f in (("lo", F.min), ("hi", F.max))]
+    keys = [*by, "__c"] if spec.cluster is not None else list(by)
+    return _picked(rows, spec, list(by)).groupBy(*keys).agg(F.count("*").alias("n_rows"), *_side("1", F.col("__g")), *_side("0", ~F.col("__g")), *edges)
+
+
+def evaluate_cells(parts: DataFrame, spec: StatSpec, by: Sequence[str]) -> DataFrame:
+    """``evaluate`` from merged cells (no Newey-West): means first, then deviations from them."""
+    by = list(by)
+    n, s = (lambda t: F.sum(f"n{t}")), (lambda t: F.sum(F.col(f"n{t}") * F.coalesce(f"m{t}", F.lit(0.0))))
+    whole = parts.groupBy(*by).agg(
+        F.sum("n_rows").alias("all_rows"),
+        *(c for t in "10" for c in (n(t).alias(f"N{t}_"), (s(t) / F.when(n(t) > 0, n(t))).alias(f"M{t}_"), (F.min(f"lo{t}") < F.max(f"hi{t}")).alias(f"V{t}_"))),
+    )
+    gap = lambda t: F.coalesce(F.col(f"q{t}"), F.lit(0.0)) + F.coalesce(F.col(f"n{t}") * F.pow(F.col(f"m{t}") - F.col(f"M{t}_"), F.lit(2.0)), F.lit(0.0))
+    spread = parts.join(whole, by).groupBy(*by).agg(*(F.sum(F.when(F.col(f"V{t}_"), gap(t)).otherwise(0.0)).alias(f"q{t}") for t in "10"))
+    base = whole.join(spread, by).select(*by, F.col("all_rows").alias("n_rows"), *(c for t in "10" for c in (F.col(f"N{t}_").alias(f"n{t}"), F.col(f"M{t}_").alias(f"m{t}"), f"q{t}")))
+    sums = None
+    if spec.cluster is not None:
+        sums = parts.where("n1 + n0 > 0").groupBy(*by, "__c").agg(s("1").alias("s1"), n("1").alias("k1"), s("0").alias("s0"), n("0").alias("k0"))
+    return _finish(_with_model(base, spec), spec, by, None, sums)
+
+
+def _with_model(base: DataFrame, spec: StatSpec) -> DataFrame:
     n, n1, n0 = F.col("n1") + F.col("n0"), F.col("n1"), F.col("n0")
-    if diff:
-        coef, sxx = F.col("m1") - F.col("m0"), n1 * n0 / F.when(n > 0, n)
-        usable, share = (n1 >= 2) & (n0 >= 2), n1 / F.when(n > 0, n)
+    if spec.group is not None:
+        coef, sxx, usable, share = F.col("m1") - F.col("m0"), n1 * n0 / F.when(n > 0, n), (n1 >= 2) & (n0 >= 2), n1 / F.when(n > 0, n)
     else:
-        coef, sxx, usable, share = F.col("m1"), n1.cast("double"), n >= 2, None
+        coef, sxx, usable, share = F.col("m1"), n1.cast("double"), n >= 2, F.lit(0.0)
     rss = F.coalesce("q1", F.lit(0.0)) + F.coalesce("q0", F.lit(0.0))
-    base = base.withColumns({"__n": n, "__coef": coef, "__sxx": sxx, "__share": share if diff else F.lit(0.0), "__rss": rss, "__ok": usable})
+    return base.withColumns({"__n": n, "__coef": coef, "__sxx": sxx, "__share": share, "__rss": rss, "__ok": usable})
 
-    def joined(side: DataFrame) -> DataFrame:
-        return base.join(side, by, "left") if by else base.crossJoin(side)
+
+def _finish(base: DataFrame, spec: StatSpec, by: list[str], hac: DataFrame | None, sums: DataFrame | None) -> DataFrame:
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, by, "left") if by else left.crossJoin(right)
 
     variance = F.when(F.col("__n") > spec.parameters, F.col("__rss") / (F.col("__n") - spec.parameters) / F.when(F.col("__sxx") != 0, F.col("__sxx")))
     clusters, dof = F.lit(None).cast("bigint"), (F.col("__n") - spec.parameters).cast("double")
     out = base
-    if spec.maxlags is not None:
-        out = joined(_lag_products(data, base, spec, by))
-        variance = F.greatest(F.col("__hac"), F.lit(0.0))
-    if spec.cluster is not None:
-        sums = data.where("__v is not null").groupBy(*by, "__c").agg(
-            F.sum(yes).alias("s1"), F.count(yes).alias("k1"), F.sum(no).alias("s0"), F.count(no).alias("k0")
-        )
-        with_means = sums.join(base.select(*by, "m1", "m0", "__share"), by) if by else sums.crossJoin(F.broadcast(base.select("m1", "m0", "__share")))
+    if hac is not None:
+        out, variance = joined(out, hac), F.greatest(F.col("__hac"), F.lit(0.0))
+    if sums is not None:
+        means = base.select(*by, "m1", "m0", "__share")
+        with_means = sums.join(means, by) if by else sums.crossJoin(F.broadcast(means))
         one = F.coalesce("s1", F.lit(0.0)) - F.coalesce("m1", F.lit(0.0)) * F.col("k1")
         two = F.coalesce("s0", F.lit(0.0)) - F.coalesce("m0", F.lit(0.0)) * F.col("k0")
         score = (1 - F.col("__share")) * one - F.col("__share") * two
-        per = with_means.groupBy(*by).agg(F.sum(score * score).alias("__meat"), F.count("*").alias("__g_n"))
-        out = out.join(per, by, "left") if by else out.crossJoin(per)
-        g = F.coalesce("__g_n", F.lit(0))
-        nn = F.col("__n")
+        out = joined(out, with_means.groupBy(*by).agg(F.sum(score * score).alias("__meat"), F.count("*").alias("__g_n")))
+        g, nn = F.coalesce("__g_n", F.lit(0)), F.col("__n")
         robust = g / F.when(g > 1, g - 1) * (nn - 1) / F.when(nn > spec.parameters, nn - spec.parameters) * F.col("__meat") / (F.col("__sxx") * F.col("__sxx"))
         variance = F.when(g >= 2, robust).otherwise(variance)
         clusters, dof = g.cast("bigint"), F.when(g >= 2, (g - 1).cast("double")).otherwise(dof)
     se = F.when(F.col("__rss") == 0, F.lit(0.0)).otherwise(F.sqrt(variance))
-    mean = F.when(F.col("__ok"), F.col("__coef")) if diff else F.when(F.col("__n") >= 1, F.col("__coef"))
+    mean = F.when(F.col("__ok") if spec.group is not None else F.col("__n") >= 1, F.col("__coef"))
     t = F.when(F.col("__ok"), ratio(F.col("__coef"), se))
     result = out.select(
         *by, "n_rows", mean.alias("mean"), t.alias("t_stat"), F.col("__n").cast("bigint").alias("n"),
