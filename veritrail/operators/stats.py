@@ -131,6 +131,9 @@ def _with_model(base: DataFrame, spec: StatSpec) -> DataFrame:
     else:
         coef, sxx, usable, share = F.col("m1"), n1.cast("double"), n >= 2, F.lit(0.0)
     rss = F.coalesce("q1", F.lit(0.0)) + F.coalesce("q0", F.lit(0.0))
+    if spec.group is not None:  # equal constants on both sides differ by nothing, whatever the sums round to
+        same = (rss == 0) & (F.abs(coef) <= 1e-13 * (F.abs("m1") + F.abs("m0")))
+        coef = F.when(same, F.lit(0.0)).otherwise(coef)
     return base.withColumns({"__n": n, "__coef": coef, "__sxx": sxx, "__share": share, "__rss": rss, "__ok": usable})
 
 
