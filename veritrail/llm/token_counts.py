@@ -82,7 +82,11 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary_name
 
     bodies = source.select(digest.alias("digest"), "text").mapInPandas(squeeze, "digest binary, body binary")
     misses = bodies.join(cached, "digest", "left_anti").groupBy("digest").agg(F.first("body").alias("body"))
-    misses.select("body", "digest").mapInPandas(encode, _CACHE).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = materialise(counts, "token-counts")
+    # counts are small: the results of eight tasks share a file
+    counted = misses.select("body", "digest").mapInPandas(encode, _CACHE).withColumn("file", F.expr("spark_partition_id() div 8"))
+    counted.repartition("file").drop("file").write.mode("append").parquet(cache_path)
+    counts = read_cache(spark, cache_path, version)
+    twice = counts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():  # another job appended the same texts meanwhile
+        counts = materialise(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
