@@ -9,13 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import langid, lines, mixing, packing, simhash
+from veritrail.llm import langid, lines, mixing, packing, simhash, simhash_forest
 from veritrail.llm.common import materialise, read_table
 
-#: Near-duplicates of the pipeline: shingles of five words, at most this many of 64 bits apart (an expected
-#: similarity well above 0.8).
-WORDS, RADIUS = 5, 3
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language the model rejects (no letter, or too little confidence)."""
@@ -29,8 +25,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return simhash.keep_one(docs, WORDS, RADIUS)
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    return simhash.keep_one(docs, simhash_forest.similar_components(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

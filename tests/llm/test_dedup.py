@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 from conftest_words import sentence
-from veritrail.llm import components, embeddings, lines, simhash
+from veritrail.llm import components, embeddings, lines, simhash, simhash_forest
 
 
 def brute_components(n, link):
@@ -57,10 +57,57 @@ def test_vantage_tree_finds_every_pair(spark):
 
 
 def test_one_of_each_group_stays(spark, messy, empty):
-    kept = simhash.keep_one(messy, 5, 3)
+    kept = simhash.keep_one(messy, simhash_forest.similar_components(messy))
     assert kept.columns == messy.columns
     ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 0 in ids and 1 in ids and 106 not in ids and simhash.keep_one(empty, 5, 3).count() == 0
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 in ids and 106 not in ids
+    assert simhash.keep_one(empty, simhash_forest.similar_components(empty)).count() == 0
+
+
+def shingles(text, words=5):
+    found = text.lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+
+
+def test_forest_finds_similar_texts_and_leaves_others(spark):
+    rng = random.Random(9)
+    texts = [sentence(rng, 240) for _ in range(60)]
+    for k in range(40):  # one word in 80 replaced: about 0.88; in 20: about 0.6 or less
+        words = texts[k].split()
+        for at in range(7, len(words), 80 if k < 25 else 20):
+            words[at] = f"x{k}y{at}"
+        texts.append(" ".join(words))
+    shared = sentence(rng, 120)  # a passage that is half of each
+    texts += [shared + " " + sentence(rng, 120) for _ in range(20)]
+    got = dict(simhash_forest.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            if alike >= 0.85:
+                assert got[i] == got[j]
+            if alike < 0.5:
+                assert got[i] != got[j]
+
+
+def test_forest_splits_hot_trees(spark, monkeypatch):
+    monkeypatch.setattr(simhash_forest, "SHARD", 16)
+    monkeypatch.setattr(simhash_forest, "CHUNK", 50)
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 62), 1 << 62, (40, 4))
+    rows = []
+    for i in range(400):  # chains that drift away from their start by 24 bits a step
+        p = base[i % 40].copy() if i < 40 else rows[i - 40][1].copy()
+        for b in rng.choice(256, 24 if i % 40 < 20 else 80, replace=False):
+            p[b // 64] ^= np.int64(1 << (b % 64) if b % 64 < 63 else -(1 << 63))
+        rows.append((i, p))
+    keys = [[7, 100 + i % 3, 1000 + i] for i in range(400)]
+    reps = spark.createDataFrame([(i, *map(int, p), k) for (i, p), k in zip(rows, keys, strict=True)], "rep long, f0 long, f1 long, f2 long, f3 long, bands array<long>")
+    got = {r.node: r.component for r in components.connected_components(simhash_forest.forest_edges(reps)).collect()}
+    parts = np.array([p for _, p in rows]).view(np.uint64)
+    a, b = np.nonzero(np.bitwise_count(parts[:, None] ^ parts[None, :]).sum(axis=2, dtype=int) <= simhash_forest.RADIUS)
+    label = components.merge_labels(np.arange(400), a, b)
+    assert [got.get(i, i) for i in range(400)] == label.tolist() and 20 < len(set(label.tolist())) < 400
 
 
 def test_components_of_chains_and_stars(spark):

@@ -33,21 +33,22 @@ _BLOCK = 1 << 20
 BROADCAST_BYTES = 32 << 20
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """Signed 64-bit SimHash of the word shingles of a text, repeats included."""
+def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; none for a text without words."""
     from xxhash import xxh64_intdigest
 
     found = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z only, ASCII blanks only
-    if not found:
-        return 0
     if len(found) <= words:
-        hashes = np.array([xxh64_intdigest(b" ".join(found), seed)], dtype=np.uint64)
-    else:
-        joined = b" ".join(found)
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
-        hashes = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans), np.uint64, len(found) - words + 1)
+        return np.array([xxh64_intdigest(b" ".join(found), seed)] if found else [], dtype=np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: len(found) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in spans), np.uint64, len(found) - words + 1)
+
+
+def majority_bits(hashes: np.ndarray) -> int:
+    """Signed 64-bit number of the bits that are set in over half the hashes (none: zero)."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -55,6 +56,11 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """Signed 64-bit SimHash of the word shingles of a text, repeats included."""
+    return majority_bits(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp long."""
 
@@ -185,10 +191,11 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int, radius: int) -> DataFrame:
-    """All columns of the rows that stay: of each group of near-duplicates the document of the smallest id,
-    and of rows that repeat an id one.  Rows without an id cannot be told apart and stay."""
-    found = materialise(simhash_components(docs, words, radius), "simhash-groups").where("doc_id is not null")
+def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """All columns of the rows that stay, for components (doc_id, component_id) of the same rows: of each group
+    of near-duplicates the document of the smallest id, and of rows that repeat an id one.  Rows without an id
+    cannot be told apart and stay."""
+    found = materialise(components.select("doc_id", "component_id"), "simhash-groups").where("doc_id is not null")
     gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
     again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     again = materialise(again.select(F.col("doc_id").alias("__again")), "simhash-again")
