@@ -31,7 +31,7 @@ WORDS, TREE_RADIUS = 5, 3
 BITS, RADIUS = 256, 48
 BANDS, ROWS = 18, 4
 #: Classes of a shard, classes that meet it in one task, and rows of small trees in one task.
-SHARD, CHUNK, BUCKET = 1_024, 16_384, 32_768
+SHARD, CHUNK, BUCKET = 1_024, 16_384, 2_048
 _PRINTS = [f"f{k}" for k in range(BITS // 64)]
 _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 _MULTIPLY, _FLIP = 2 * _MIX[0] + np.uint64(1), _MIX[1]
