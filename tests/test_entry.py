@@ -1,8 +1,9 @@
 import importlib
+import os
 import subprocess
 import sys
 
-from conftest import ROOT
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def test_flagship(spark):
