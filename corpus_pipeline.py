@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; n_chars follows."""
-    done = lines.dedup_lines(docs)
+    """Takes repeated lines out of the texts, short ones too; n_chars follows."""
+    done = lines.dedup_lines(docs, shortest=1)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 

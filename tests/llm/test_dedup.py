@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import numpy as np
 from conftest_words import sentence
 from veritrail.llm import components, embeddings, lines, simhash, simhash_forest
@@ -146,6 +147,24 @@ def test_lines_against_all_pairs(spark):
     assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == want and lost
 
 
+def test_short_lines_against_all_pairs(spark):
+    rng = random.Random(8)
+    pool = [sentence(rng, rng.randint(4, 12)) for _ in range(20)] + ["", "Les.", "Lez.", " ", "a" * 19, "a" * 20, "a" * 21, "b" * 18 + "x"]
+    pool += [edit(rng, p) for p in pool[:10]]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, "Les."), (63, "Les.\nLes.")]
+    first = {}
+    for i, t in docs:
+        for k, x in enumerate((t or "").split("\n")):
+            if x:
+                first.setdefault(x, (i, k))
+    long = {x for x in first if len(x) >= lines.MIN_CHARS}
+    lost = {x for x in long if any(first[y] < first[x] and within_one(x, y) for y in long)}
+    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x or (first[x] == (i, k) and x not in lost)) for i, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
+    assert got == want and lost and got[62] == got[63] == ""
+
+
 def test_lines_of_messy_tables(messy, empty):
     done = lines.dedup_lines(messy)
     assert done.columns == messy.columns and done.count() == messy.count() and lines.dedup_lines(empty).count() == 0

@@ -1,7 +1,11 @@
 """Line dedup over the whole corpus: exact copies and lines within one character edit; the earliest stays.
 
-Only DataFrame functions are used.  Lines of at least ``MIN_CHARS`` characters take part.  Exact copies are
-one class, known by two 64-bit hashes, whose place is its earliest one (smallest doc_id, then line number).
+Only DataFrame functions are used.  Lines of at least ``shortest`` characters take part (``MIN_CHARS`` where
+nothing else is asked for; with 1, all but empty lines).  Exact copies are one class, known by two 64-bit
+hashes, whose place is its earliest one (smallest doc_id, then line number).
+
+Edits are looked for between lines of at least ``MIN_CHARS`` characters: in shorter ones a single character
+tells different lines apart.
 
 Classes within one edit of each other are found through deletion neighbourhoods:
 
@@ -16,7 +20,7 @@ Classes within one edit of each other are found through deletion neighbourhoods:
 A class is dropped if a class within the bound has an earlier place; of the others, the earliest place is
 kept and all further copies are dropped.
 
-Defined results: null texts stay null; lines below the minimum always stay; a document that loses every line
+Defined results: null texts stay null; lines below ``shortest`` always stay; a document that loses every line
 has an empty text and stays a row; rows that share doc_id and line number count as one place; a null id
 comes first; an empty table gives an empty result; all columns but ``text`` are left alone.
 """
@@ -37,10 +41,10 @@ def _small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, row_bytes, BROADCAST_BYTES) else df
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, shortest: int) -> DataFrame:
     """doc_id, line_no, line of the lines that take part."""
     each = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return each.where(F.length("line") >= MIN_CHARS)
+    return each.where(F.length("line") >= shortest)
 
 
 def _half_keys(line: Column) -> Column:
@@ -81,11 +85,14 @@ def _variants(shared: DataFrame) -> DataFrame:
     return deleted.unionByName(whole)
 
 
-def losers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def losers(docs: DataFrame, shortest: int = MIN_CHARS) -> tuple[DataFrame, DataFrame]:
     """(classes: h1, h2, place, keys; places of the classes that have an earlier neighbour)."""
-    lines = _lines(docs)
+    lines = _lines(docs, shortest)
     line = F.col("line")
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.struct("doc_id", "line_no").alias("place"), _half_keys(line).alias("keys"))
+    keys = _half_keys(line)
+    if shortest < MIN_CHARS:  # shorter lines get no keys: they meet exact copies only
+        keys = F.when(F.length(line) >= MIN_CHARS, keys)
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), line).alias("h2"), F.struct("doc_id", "line_no").alias("place"), keys.alias("keys"))
     classes = materialise(hashed.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.first("keys").alias("keys")), "line-classes")
     halves = classes.select("place", F.explode("keys").alias("k")).select("place", "k.side", "k.less", "k.key")
     # a half must be shared, and a line taken as one shorter needs a line of that length
@@ -109,22 +116,22 @@ def losers(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return classes, near.select("place").distinct()
 
 
-def kept_lines(docs: DataFrame) -> DataFrame:
+def kept_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """doc_id, kept: numbers of the lines that stay, for documents that lose at least one."""
-    classes, lost = losers(docs)
+    classes, lost = losers(docs, shortest)
     stay = classes.select("place").join(lost, "place", "left_anti").select("place.doc_id", "place.line_no")
     kept = stay.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("kept"))
-    taking = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= MIN_CHARS))
+    taking = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(x) >= shortest))
     have = docs.where("text is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(taking).alias("have")).where("have > 0")
     both = have.join(kept, have["doc_id"].eqNullSafe(kept["doc_id"]), "left").select(have["doc_id"], "have", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
     return materialise(both.where(F.size("kept") < F.col("have")).select("doc_id", "kept"), "line-kept")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of docs, with the dropped lines taken out of ``text``."""
-    kept = kept_lines(docs).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
+    kept = kept_lines(docs, shortest).select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept"))
     lines = F.split(F.col("row.text"), "\n")
-    stays = F.filter(lines, lambda x, i: (F.length(x) < MIN_CHARS) | F.array_contains("__kept", i))
+    stays = F.filter(lines, lambda x, i: (F.length(x) < shortest) | F.array_contains("__kept", i))
     text = F.when(F.col("__kept").isNull(), F.col("row.text")).otherwise(F.array_join(stays, "\n"))
     row = docs.select(F.struct("*").alias("row"))
     joined = row.join(_small(kept, 96), F.col("row.doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
