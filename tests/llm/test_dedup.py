@@ -200,5 +200,19 @@ def test_embeddings_against_brute_force(spark):
     assert np.mean([got[i].component_id == parts[i] for i in range(len(rows))]) > 0.99
 
 
+def test_embeddings_meet_at_every_size():
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(30, 32)) * np.linspace(1, 0.2, 32)
+    x = centres[rng.integers(30, size=3000)] + rng.normal(size=(3000, 32)) * np.linspace(0.6, 0.2, 32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    a = x[:1000]
+    side = rng.normal(size=a.shape)
+    side -= (side * a).sum(axis=1)[:, None] * a
+    b = embeddings.THRESHOLD * a + np.sqrt(1 - embeddings.THRESHOLD**2) * side / np.linalg.norm(side, axis=1)[:, None]
+    for stretch in (6, 11, 15, 19, 22):  # labels of up to 2,048 to 134 million vectors
+        q = embeddings.Quantiser(x, stretch)
+        assert (q.stretches(a) == q.stretches(b)).any(axis=1).mean() > 0.95
+
+
 def test_no_embeddings(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0

@@ -1,13 +1,16 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact reranking.
 
 A rotation of the principal axes is learned from a bounded sample so that signs make balanced binary codes.
-The code is cut into ``TABLES`` stretches, each the index of a table: vectors of one label that share a
+The code is cut into stretches, each the index of a table: vectors of one label that share a
 stretch meet in that table's bucket, and their original vectors are compared in double precision.  A pair is
 counted in the first table where it meets.  Buckets of more than ``CHUNK`` rows are dealt into chunks, and
 every two chunks meet in a task of their own: nothing is dropped, no task holds more than two chunks, and
 only sums of links and a spanning forest leave a task.
 
-Code stretches get longer as labels get larger (more rotations are learned when the bits run out).
+Code stretches get longer as labels get larger (more rotations are learned when the bits run out), and a longer
+stretch is missed more often; so there are as many tables (``TABLES`` at least) as keep the miss of a pair at
+the threshold under ``MISS``.  The count takes a bit to differ as often as the side of a random plane does,
+in angle / pi of all cases; the learned bits differ less often.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows of null label,
 link with nothing and are components of their own; vectors of different lengths do not meet; repeated rows
@@ -29,6 +32,8 @@ from .components import connected_components, merge_labels
 
 THRESHOLD = 0.93
 TABLES, CHUNK = 10, 512
+#: Share of the pairs at the threshold that may meet in no table, by the count of ``tables_for``.
+MISS = 0.01
 #: Vectors that the rotation is learned from, at most (about), and rows that a bucket is to hold.
 SAMPLE, BUCKET = 20_000, 32
 ROUNDS = 40
@@ -48,20 +53,27 @@ def itq(x: np.ndarray, bits: int, seed: int) -> np.ndarray:
     return axes @ r
 
 
+def tables_for(stretch: int, threshold: float) -> int:
+    """Tables of so many bits each in which a pair at the threshold meets at least once, but for ``MISS``."""
+    met = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** stretch
+    return TABLES if met >= 1 else max(TABLES, math.ceil(math.log(MISS) / math.log1p(-met)))
+
+
 class Quantiser:
-    def __init__(self, sample: np.ndarray, stretch: int):
+    def __init__(self, sample: np.ndarray, stretch: int, threshold: float = THRESHOLD):
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
-        dim, need, parts = sample.shape[1], TABLES * stretch, []
+        self.tables = tables_for(stretch, threshold)
+        dim, need, parts = sample.shape[1], self.tables * stretch, []
         for k in range(-(-need // dim)):
             parts.append(itq(centred, dim, k))
         self.projection = np.concatenate(parts, axis=1)[:, :need]
         self.weights = 1 << np.arange(stretch, dtype=np.int64)
 
     def stretches(self, unit: np.ndarray) -> np.ndarray:
-        """rows x TABLES bucket numbers."""
+        """rows x tables bucket numbers."""
         bits = ((unit - self.mean) @ self.projection) >= 0
-        return bits.reshape(len(unit), TABLES, -1) @ self.weights
+        return bits.reshape(len(unit), self.tables, -1) @ self.weights
 
 
 def unit_vectors(column) -> tuple[list[np.ndarray | None], np.ndarray]:
@@ -77,14 +89,14 @@ def unit_vectors(column) -> tuple[list[np.ndarray | None], np.ndarray]:
     return out, np.array([a is not None for a in out], dtype=bool)
 
 
-def _learn(rows: DataFrame, dim: int, largest: int, total: int) -> Quantiser | None:
+def _learn(rows: DataFrame, dim: int, largest: int, total: int, threshold: float) -> Quantiser | None:
     unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20)
     picked = rows.where(F.size("embedding") == dim).where(unit < min(1.0, SAMPLE / max(1, total))).select("embedding").limit(2 * SAMPLE).toPandas()
     vectors, ok = unit_vectors(picked["embedding"])
     if not ok.any():
         return None
     stretch = int(min(30, max(6, math.ceil(math.log2(max(2, largest / BUCKET))))))
-    return Quantiser(np.array([v for v in vectors if v is not None]), stretch)
+    return Quantiser(np.array([v for v in vectors if v is not None]), stretch, threshold)
 
 
 def _links_of_run(x: np.ndarray, subs: np.ndarray, t: int, a: np.ndarray, b: np.ndarray, threshold: float):
@@ -152,7 +164,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     sizes = rows.where("label is not null and embedding is not null").groupBy(F.size("embedding").alias("dim"), "label").agg(F.count("*").alias("n"))
     dims = sizes.groupBy("dim").agg(F.max("n").alias("largest"), F.sum("n").alias("total")).where("dim > 0").collect()
-    quantisers = {r["dim"]: q for r in dims if (q := _learn(rows.where("label is not null"), r["dim"], r["largest"], r["total"]))}
+    quantisers = {r["dim"]: q for r in dims if (q := _learn(rows.where("label is not null"), r["dim"], r["largest"], r["total"], threshold))}
     shared = spark.sparkContext.broadcast(quantisers)
 
     def encode(frames):
