@@ -61,6 +61,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == r.toxic for r in got]) > 0.95 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
 
 
+def test_rare_toxic_words_count():
+    rng = random.Random(12)
+
+    def text(bad=()):
+        words = sentence(rng, rng.randint(20, 40)).split()
+        for _ in range(6 if bad else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        return " ".join(words)
+
+    usual, rare = ["blithering", "nincompoop", "scoundrel", "wretched"], ["zugglemorf", "quibbenwart"]
+    toxic = [text(usual) for _ in range(1400)] + [text(rare) for _ in range(18)]
+    copied = text(["harmlessword"])  # in many toxic documents, but they are copies of one
+    ordinary = [text() for _ in range(4200)]
+    model = toxicity.train(toxic + [copied] * 40 + ordinary, [1] * 1458 + [0] * 4200, 0.2)
+    assert b"zugglemorf" in model.toxic and b"quibbenwart" in model.toxic and b"harmlessword" not in model.toxic
+    assert np.mean([toxicity.score(text(rare), model) >= toxicity.DECISION for _ in range(50)]) > 0.9
+    assert np.mean([toxicity.score(text(), model) >= toxicity.DECISION for _ in range(200)]) < 0.02
+
+
 def test_toxicity_of_messy_tables(spark, messy, empty):
     docs, labels = toxic_table(spark)
     both = docs.withColumn("score", F.lit(7)).unionByName(messy.where("doc_id is null or doc_id >= 100").select(F.col("doc_id") + 1000, "text", "score").toDF("doc_id", "text", "score"))

@@ -1,7 +1,8 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries share what ordinary text trains; the toxic one continues with stretches of words
-that are over-represented in toxic documents.  A text is cut into windows of words; for each window the
+that are over-represented in toxic documents.  (A dictionary trained on toxic windows in its place tells far
+less, as toxic documents are ordinary text for the most part; the README has the figures.)  A text is cut into windows of words; for each window the
 difference of its two compressed lengths says how much better the toxic dictionary explains it.  A text's
 differences are summed up in six numbers, which a logistic curve, fitted on documents that the dictionaries
 have not seen, turns into a score; the curve is shifted so that the best threshold found is ``DECISION``.
@@ -16,6 +17,7 @@ labels of both kinds every score is 0; repeated rows get equal scores.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -31,10 +33,12 @@ from .langid import held_out_column
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_500, 100_000
 DECISION = 0.3
 WINDOW, GRAM = 8, 5
-#: A stretch counts as toxic when it is in this share of toxic documents (and this many), and this many
-#: times as frequent as among ordinary ones.
-SHARE, LEAST, RATIO = 0.016, 3, 30
-DICTIONARY = 16_384
+#: A stretch counts as toxic when it is in this many toxic documents, this many times as frequent as among
+#: ordinary ones, and in more toxic documents than chance would bring any of all stretches to.
+LEAST, RATIO = 3, 30
+#: Bytes of the ordinary dictionary, and windows that it is trained on, at most: they are drawn at random from
+#: all windows of the ordinary documents, and 40,000 hold over 100 times what the dictionary can.
+DICTIONARY, TRAINED_ON = 16_384, 40_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -76,6 +80,14 @@ def _grams(word: str) -> list[str]:
     return [edged[k : k + GRAM] for k in range(len(edged) - GRAM + 1)]
 
 
+def _by_chance(n: int, others: int, share: float) -> float:
+    """Bound (Chernoff) on the chance that of n + others documents n or more are of a kind with this share."""
+    k = n + others
+    if n <= share * k:
+        return 1.0
+    return math.exp(-n * math.log(n / k / share) - (others * math.log(others / k / (1 - share)) if others else 0.0))
+
+
 def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
     import zstandard
 
@@ -86,8 +98,20 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
         return seen
 
     bad, good = spread(toxic), spread(ordinary)
-    least = max(LEAST, SHARE * len(toxic))
-    over = {g for g, n in bad.items() if n >= least and n / len(toxic) >= RATIO * (good[g] + 0.5) / len(ordinary)}
+    tried = {g: n for g, n in bad.items() if n >= LEAST}
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    often = {g: n for g, n in tried.items() if n / len(toxic) >= RATIO * (good[g] + 0.5) / len(ordinary)}
+    # copies of a document say nothing new: a word counts with neighbours that no earlier document has
+    apart, met = Counter(), set()
+    for t in toxic:
+        found, new = ["", *_WORD.findall(t.lower()), ""], set()
+        for around in zip(found, found[1:], found[2:]):
+            hit = [g for g in _grams(around[1]) if g in often]
+            if hit and around not in met:
+                met.add(around)
+                new.update(hit)
+        apart.update(new)
+    over = {g for g, n in apart.items() if n >= LEAST and _by_chance(n, good[g], share) * len(tried) <= 1}
     stretches: Counter = Counter()
     for t in toxic:
         for w in _WORD.findall(t.lower()):
@@ -96,7 +120,7 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
                 stretches[f" {w} "[hit[0] : hit[-1] + GRAM]] += 1
     found = [s for s, n in sorted(stretches.items(), key=lambda x: (x[1], x[0])) if n >= LEAST]
     samples = [w for t in ordinary for w in windows(t)]
-    pick = np.random.default_rng(5).permutation(len(samples))[:40_000]
+    pick = np.random.default_rng(5).permutation(len(samples))[:TRAINED_ON]
     samples = [samples[k] for k in pick]
     try:
         plain = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
