@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritrail.llm import langid, lines, mixing, packing, simhash, simhash_forest
+from veritrail.llm import langid, lines, mixing, packing, simhash_forest
 from veritrail.llm.common import materialise, read_table
 
 
@@ -20,13 +20,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated lines out of the texts, short ones too; n_chars follows."""
-    done = lines.dedup_lines(docs, shortest=1)
+    done = lines.dedup_lines(docs)
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
-    return simhash.keep_one(docs, simhash_forest.similar_components(docs))
+    return simhash_forest.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
