@@ -5,7 +5,8 @@ colour histograms.
 the storage lossless; ``decode`` reads any GIF; ``gif_frames`` turns a media column into timed frames.
 
 Defined results: null text counts as empty; an empty text is one row of padding; long texts take more
-frames; broken media give no frames (``gif_frames``) rather than a failed job; repeated rows repeat.
+frames; broken media give no frames (``gif_frames``) rather than a failed job, and so do canvases of more than
+``MAX_PIXELS`` pixels; repeated rows repeat; ids are carried exactly, null ones stay null.
 """
 
 from __future__ import annotations
@@ -17,17 +18,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import computed, text_or_empty
 
 #: Payloads are padded to whole rows of this many samples; a frame holds up to ROWS of them.
 WIDTH, ROWS = 576, 64
 PAD = 255
 #: Hundredths of a second that each stored frame is shown.
 DELAY = 10
+#: Pixels that a canvas or a frame may declare (a broken header may claim 12 GB of them).
+MAX_PIXELS = 1 << 26
 _TOP = 4096
 _GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
@@ -168,11 +171,24 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray | None, int]:
     return table, at + n
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """Composed frames in order.  Disposal 2 clears the frame's rectangle, 3 restores what was there."""
+def decode(data: bytes, most: int = MAX_PIXELS) -> Iterator[Frame]:
+    """Composed frames in order.  Disposal 2 clears the frame's rectangle, 3 restores what was there.
+
+    Raises ValueError for anything that is no sound GIF, or that declares a canvas or a frame of more than
+    ``most`` pixels.
+    """
+    try:
+        yield from _frames(data, most)
+    except (IndexError, OverflowError, struct.error) as e:
+        raise ValueError(f"a broken GIF: {e}") from e
+
+
+def _frames(data: bytes, most: int) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF header")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
+    if width * height > most:
+        raise ValueError("the canvas is too large")
     shared, at = _palette(data, 13, flags)
     canvas = np.zeros((height, width, 3), dtype=np.uint8)
     clock = 0
@@ -195,6 +211,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         if palette is None:
             raise ValueError("a frame without a palette")
         min_size = data[at]
+        if not 1 <= min_size <= 8 or w * h > most:
+            raise ValueError("samples of an impossible size")
         stream, at = _blocks(data, at + 1)
         samples = np.frombuffer(lzw_decode(stream, min_size, w * h).ljust(w * h, b"\0"), np.uint8).reshape(h, w)
         if flags & 0x40:  # rows come in four passes
@@ -246,15 +264,11 @@ def padded(text: str) -> tuple[bytes, int]:
 def encode_payloads(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: every text as a GIF."""
 
-    def store(frames):
-        for frame in frames:
-            for at in range(0, len(frame), 500):
-                part = frame.iloc[at : at + 500]
-                made = [padded(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "n_bytes": [n for _, n in made], "media": [encode(p) for p, _ in made]})
+    def store(texts):
+        return [(n, encode(p)) for p, n in map(padded, texts)]
 
-    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return source.mapInPandas(store, "doc_id long, n_bytes long, media binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return computed(source, ["doc_id"], ["text"], store, {"n_bytes": "long", "media": "binary"})
 
 
 def read_payloads(media: DataFrame) -> DataFrame:
@@ -271,37 +285,34 @@ def read_payloads(media: DataFrame) -> DataFrame:
         feature = f"frames={n};ms={ms};rgb8=" + ",".join(map(str, hist.tolist()))
         return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(blob), hashlib.sha256(blob).hexdigest(), feature
 
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-
-    def read(frames):
-        for frame in frames:
-            got = pd.DataFrame([row(bytes(b)) for b in frame["media"]], columns=names)
-            yield pd.concat([frame[["doc_id", "n_bytes"]].reset_index(drop=True), got], axis=1)
-
-    return media.mapInPandas(
-        read,
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+    described = {"payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+    return computed(media, ["doc_id", "n_bytes"], ["media"], lambda blobs: [row(b) for b in blobs], described)
 
 
 def gif_frames(df: DataFrame, key: str, media: str) -> DataFrame:
     """Timed frames of a media column: key, frame, start_ms, delay_ms, left, top, width, height, rgb,
-    hist_r, hist_g, hist_b.  Null or broken media give no rows."""
-
-    def split(frames):
-        for frame in frames:
-            for k, blob in zip(frame["k"], frame["m"], strict=True):
+    hist_r, hist_g, hist_b.  Null or broken media give no rows (a medium that breaks off gives none of its
+    frames)."""
+    counts = pa.list_(pa.int64())
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.binary(), counts, counts, counts]
+    names = ["frame", "start_ms", "delay_ms", "left", "top", "width", "height", "rgb", "hist_r", "hist_g", "hist_b"]
+
+    def split(batches):
+        for batch in batches:
+            for k, blob in enumerate(batch.column("m")):
                 rows = []
                 try:
-                    for i, f in enumerate(decode(bytes(blob))):
-                        hist = histogram(f.rgb)
-                        rows.append((k, i, f.start_ms, f.delay_ms, *f.box, f.rgb.tobytes(), hist[:8], hist[8:16], hist[16:]))
-                except (ValueError, IndexError, struct.error):
+                    for i, f in enumerate(decode(blob.as_py())):
+                        hist = histogram(f.rgb).tolist()
+                        rows.append((i, f.start_ms, f.delay_ms, *f.box, f.rgb.tobytes(), hist[:8], hist[8:16], hist[16:]))
+                except ValueError:
                     continue
-                yield pd.DataFrame(rows, columns=["k", "frame", "start_ms", "delay_ms", "left", "top", "width", "height", "rgb", "hist_r", "hist_g", "hist_b"])
+                if rows:
+                    keys = batch.column("k").take(pa.array([k] * len(rows)))
+                    yield pa.RecordBatch.from_arrays([keys, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=["k", *names])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.where(F.col(media).isNotNull()).select(F.col(key).alias("k"), F.col(media).alias("m")).mapInPandas(
+    out = df.where(F.col(media).isNotNull()).select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(
         split,
         f"k {kind}, frame int, start_ms long, delay_ms long, left int, top int, width int, height int, rgb binary, hist_r array<long>, hist_g array<long>, hist_b array<long>",
     )

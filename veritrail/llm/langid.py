@@ -1,38 +1,37 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax.
 
-Training runs in numpy by stochastic gradient descent on a bounded sample (``MAX_PER_LANGUAGE`` documents
-of each language, chosen by a hash of their ids, with whole texts); executors reduce a text to counts of
-hashed subwords first, so what reaches the driver does not depend on the length of texts.  A temperature
-and a rejection threshold are calibrated on documents that the weights were not fitted to.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0 and rejected; with nothing to
-learn from, everything is; repeated rows get equal predictions; empty tables give empty results.
+Training runs in numpy by stochastic gradient descent on a bounded sample (at most ``MAX_PER_LANGUAGE``
+different texts of each language and ``MAX_SAMPLE`` in all, chosen by a hash of the texts, which are whole; the
+bound is enforced before anything is collected); executors reduce a text to counts of hashed subwords first, so
+what reaches the driver does not depend on the length of texts.  A temperature and a rejection threshold are
+calibrated on documents that the weights were not fitted to.
+
+Defined results: a null text, or one without a letter (``str.isalpha``), is ``und`` with score 0 and rejected;
+with nothing to learn from, everything is; repeated rows get equal predictions; ids may be null, negative or
+repeated and are carried exactly; empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 import sys
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
-
+from .common import bounded_sample, computed
 
 UNKNOWN = "und"
-#: Bound on the training sample.
-MAX_PER_LANGUAGE = 800
+#: Bounds on the training sample.
+MAX_PER_LANGUAGE, MAX_SAMPLE = 800, 8_000
 BUCKETS, WIDTH = 1 << 14, 16
 GRAMS = (2, 3, 4)
 EPOCHS, BATCH, RATE = 10, 32, 40.0
 #: Part of the sample that calibrates, and of its right predictions that must not be rejected.
 CALIBRATION, KEPT = 0.2, 0.998
-_LETTER = re.compile(r"[^\W\d_]")
 _BLOCK = 1 << 18
 
 
@@ -76,7 +75,7 @@ def subwords(text: str):
 
 
 def has_letter(text: str | None) -> bool:
-    return text is not None and _LETTER.search(text) is not None
+    return text is not None and any(map(str.isalpha, text))
 
 
 @dataclass
@@ -156,28 +155,26 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], fold: np.
 
 
 def fit(docs: DataFrame) -> LanguageModel:
-    """Learn from doc_id, text, lang (rows of null text or lang are left out)."""
-    labelled = bounded_batches(docs).where("text is not null and lang is not null").select(F.xxhash64("doc_id").alias("h"), "lang", "text")
+    """Learn from text and lang (rows of null text or lang are left out)."""
+    labelled = docs.where("text is not null and lang is not null").select("lang", "text")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    share = F.element_at(F.create_map(*(F.lit(v) for k, n in counts.items() for v in (k, min(1.0, MAX_PER_LANGUAGE / n)))), F.col("lang"))
-    unit = F.pmod(F.col("h"), F.lit(1 << 20)) / (1 << 20)
-    chosen = labelled.where(unit < share)
-
-    def reduce(frames):
-        for frame in frames:
-            out = []
-            for h, lang, text in zip(frame["h"], frame["lang"], frame["text"], strict=True):
-                count = np.zeros(BUCKETS, dtype=np.int32)
-                for b in subwords(text):
-                    count += np.bincount(b, minlength=BUCKETS).astype(np.int32)
-                some = np.flatnonzero(count)
-                if len(some):
-                    out.append((h, lang, some.astype("<i4").tobytes(), count[some].astype("<i4").tobytes()))
-            yield pd.DataFrame(out, columns=["h", "lang", "buckets", "counts"])
-
-    sample = chosen.mapInPandas(reduce, "h long, lang string, buckets binary, counts binary").toPandas().sort_values(["h", "lang"])
+    most = max(1, min(MAX_PER_LANGUAGE, MAX_SAMPLE // len(counts)))
+    chosen = bounded_sample(labelled, "lang", "text", {k: (most, n) for k, n in counts.items()})
+
+    def reduce(texts):
+        out = []
+        for text in texts:
+            count = np.zeros(BUCKETS, dtype=np.int64)
+            for b in subwords(text):
+                count += np.bincount(b, minlength=BUCKETS)
+            some = np.flatnonzero(count)
+            out.append((some.astype("<i4").tobytes(), count[some].astype("<i4").tobytes()))
+        return out
+
+    sample = computed(chosen, ["h", "lang"], ["text"], reduce, {"buckets": "binary", "counts": "binary"}).toPandas().sort_values(["h", "lang"])
+    sample = sample[sample["buckets"].map(len) > 0]
     if not len(sample):
         return LanguageModel([], np.zeros((BUCKETS, 0)), np.zeros(0))
     rows = [(np.frombuffer(b, "<i4"), np.frombuffer(c, "<i4")) for b, c in zip(sample["buckets"], sample["counts"], strict=True)]
@@ -190,21 +187,12 @@ def fit(docs: DataFrame) -> LanguageModel:
 def predict(docs: DataFrame, model: LanguageModel, columns: list[str]) -> DataFrame:
     """``columns`` of docs (``text`` is read but need not be among them) with lang_pred, score, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    carried = docs.select(F.struct(*columns).alias("row"), "text").schema["row"].dataType
     names = [f"c{k}" for k in range(len(columns))]
-
-    def label(frames):
-        model = shared.value
-        for frame in frames:
-            got = pd.DataFrame([model.predict(None if t is None else t) for t in frame["text"]], columns=["lang_pred", "score", "rejected"])
-            yield pd.concat([frame[names].reset_index(drop=True), got], axis=1)
-
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(columns, names, strict=True)), F.col("text").alias("text"))
-    schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, carried.fields, strict=True))
-    return source.mapInPandas(label, f"{schema}, lang_pred string, score double, rejected boolean")
+    return computed(source, names, ["text"], lambda texts: [shared.value.predict(t) for t in texts], {"lang_pred": "string", "score": "double", "rejected": "boolean"})
 
 
-def held_out_column() -> F.Column:
+def held_out_column() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 

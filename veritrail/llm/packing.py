@@ -7,7 +7,8 @@ left.  Texts never move between machines: only piece records do, and those only
 
 Defined results: a null or empty text is one piece that holds the end token alone; a text longer than
 the capacity is cut into capacity-sized pieces, the last one shorter; repeated rows are packed as often
-as they occur; an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
+as they occur; ids are carried exactly, null ones stay null; an empty table gives an empty result; only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, text_or_empty
+from .common import SLICE, computed, materialise, text_or_empty
 from .tokens import encoder, vocabulary
 
 CAPACITY = 4096
@@ -34,6 +36,10 @@ FAN_IN, MAX_OPEN = 16, 128
 WINDOW = 200_000
 
 _ITEMS = ("doc_ids", "pieces", "starts", "lengths", "crcs", "offsets")
+_SCHEMA = pa.schema(
+    [("grp", pa.int64()), ("sequence_id", pa.int64()), ("open", pa.bool_()), ("used", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))]
+    + [(name, pa.list_(pa.int64())) for name in ("starts", "lengths", "crcs", "offsets")]
+)
 _BINS = (
     "grp long, sequence_id long, open boolean, used long, doc_ids array<long>, pieces array<int>, "
     "starts array<long>, lengths array<long>, crcs array<long>, offsets array<long>"
@@ -82,8 +88,9 @@ def _bin_row(grp: int, number: int, is_open: bool, items: list[tuple]) -> tuple:
     return (grp, number, is_open, at, *(list(col) for col in zip(*items, strict=True)), offsets)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["grp", "sequence_id", "open", "used", *_ITEMS])
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in _SCHEMA]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
 def _settle(packed: list[list[tuple]], grp: int, first: int, capacity: int, last: bool) -> tuple[list[tuple], list[list[tuple]]]:
@@ -94,7 +101,7 @@ def _settle(packed: list[list[tuple]], grp: int, first: int, capacity: int, last
     return rows, order[:keep]
 
 
-def _pack_partition(frames: Iterator[pd.DataFrame], path: str, capacity: int, end_id: int) -> Iterator[pd.DataFrame]:
+def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     code = encoder(path)
     end = end_id.to_bytes(4, "little")
     held: list[list[tuple]] = []
@@ -106,40 +113,38 @@ def _pack_partition(frames: Iterator[pd.DataFrame], path: str, capacity: int, en
         packed = best_fit([sum(it[3] for it in g) for g in groups], capacity)
         return [[it for k in b for it in groups[k]] for b in packed]
 
-    for frame in frames:
-        if grp is None and len(frame):
-            grp = int(frame["grp"].iloc[0])
+    for part in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
+        if grp is None:
+            grp = part.column("grp")[0].as_py()
             base = grp << 32
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            doc_id = None if pd.isna(doc_id) else int(doc_id)
+        for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
             waiting.extend((doc_id, *p) for p in cut(code.id_bytes(text) + end, capacity))
         if len(waiting) >= WINDOW:
             rows, held = _settle(pack(held, waiting), grp, base, capacity, False)
             waiting, base = [], base + len(rows)
-            yield _frame(rows)
+            yield _batch(rows)
     if grp is not None:
         rows, held = _settle(pack(held, waiting), grp, base, capacity, False)
         base += len(rows)
         rows += [_bin_row(grp, base + k, True, items) for k, items in enumerate(held)]
         for at in range(0, len(rows), 2000):
-            yield _frame(rows[at : at + 2000])
+            yield _batch(rows[at : at + 2000])
 
 
-def _merge_group(frame: pd.DataFrame, level: int, capacity: int, last: bool) -> pd.DataFrame:
-    grp = int(frame["grp"].iloc[0]) // FAN_IN
-    frame = frame.sort_values("sequence_id")
-    plain = [[[None if pd.isna(x) else int(x) for x in c] for c in frame[name]] for name in _ITEMS[:-1]]
-    groups = [list(zip(*cols, strict=True)) for cols in zip(*plain, strict=True)]
+def _merge_group(table: pa.Table, level: int, capacity: int, last: bool) -> pa.Table:
+    grp = table.column("grp")[0].as_py() // FAN_IN
+    table = table.sort_by("sequence_id")
+    groups = [list(zip(*cols, strict=True)) for cols in zip(*(table.column(name).to_pylist() for name in _ITEMS[:-1]), strict=True)]
     packed = best_fit([sum(it[3] for it in g) for g in groups], capacity)
     bins = [[it for k in b for it in groups[k]] for b in packed]
     base = (level << 56) + (grp << 32)
     rows, held = _settle(bins, grp, base, capacity, last)
     rows += [_bin_row(grp, base + len(rows) + k, True, items) for k, items in enumerate(held)]
-    return _frame(rows)
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def _merger(level: int, capacity: int, last: bool):
-    return lambda frame: _merge_group(frame, level, capacity, last)
+    return lambda table: _merge_group(table, level, capacity, last)
 
 
 def pack_documents(docs: DataFrame, vocabulary_name: str = VOCABULARY, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -148,18 +153,18 @@ def pack_documents(docs: DataFrame, vocabulary_name: str = VOCABULARY, capacity:
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
 
-    def pack(frames):
-        return _pack_partition(frames, vocabulary(vocabulary_name), capacity, end_id)
+    def pack(batches):
+        return _pack_partition(batches, vocabulary(vocabulary_name), capacity, end_id)
 
-    source = bounded_batches(docs).select(F.spark_partition_id().cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bins = materialise(source.mapInPandas(pack, _BINS), "pack-0")
+    source = docs.select(F.spark_partition_id().cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    bins = materialise(source.mapInArrow(pack, _BINS), "pack-0")
     done, level = [bins.where("not open")], 0
     groups = bins.agg(F.max("grp").alias("top")).first()["top"]
     groups = 0 if groups is None else groups + 1
     while True:
         level, groups = level + 1, -(-groups // FAN_IN)
         last = groups <= 1
-        bins = bins.where("open").groupBy(F.expr(f"grp div {FAN_IN}")).applyInPandas(_merger(level, capacity, last), _BINS)
+        bins = bins.where("open").groupBy(F.expr(f"grp div {FAN_IN}")).applyInArrow(_merger(level, capacity, last), _BINS)
         if last:
             done.append(bins)
             break
@@ -183,28 +188,20 @@ def pack_documents(docs: DataFrame, vocabulary_name: str = VOCABULARY, capacity:
 def sequences(docs: DataFrame, placed: DataFrame, vocabulary_name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """The packed sequences themselves: sequence_id, ids array<int>, doc_ids in order.
 
-    For tables with unique ids: the pieces are cut from the documents again and gathered per sequence.
+    For tables with unique ids and without null ones: the pieces are cut from the documents again and gathered per sequence.
     """
 
-    def ids_of(frames):
+    def ids_of(texts):
         code, end = encoder(vocabulary(vocabulary_name)), end_id.to_bytes(4, "little")
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "ids": [code.id_bytes(t) + end for t in frame["text"]]})
+        return [(code.id_bytes(t) + end,) for t in texts]
 
-    coded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(ids_of, "doc_id long, ids binary")
+    coded = computed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), ["doc_id"], ["text"], ids_of, {"ids": "binary"})
     part = F.expr("substring(ids, cast(4 * start + 1 as int), cast(4 * length as int))")
     rows = placed.join(coded, "doc_id").select("sequence_id", F.struct("offset", "doc_id", part.alias("ids")).alias("p"))
     ordered = F.array_sort(F.collect_list("p"))
 
-    def joined(frames):
-        import numpy as np
-
-        for frame in frames:
-            ids = [np.frombuffer(b"".join(bytes(x) for x in parts), dtype="<u4").astype("int32") for parts in frame["parts"]]
-            yield pd.DataFrame({"sequence_id": frame["sequence_id"], "doc_ids": frame["doc_ids"], "ids": ids})
+    def joined(every):
+        return [(np.frombuffer(b"".join(parts), dtype="<u4").astype("int32").tolist(),) for parts in every]
 
-    return (
-        rows.groupBy("sequence_id").agg(ordered.alias("p"))
-        .select("sequence_id", F.col("p.doc_id").alias("doc_ids"), F.col("p.ids").alias("parts"))
-        .mapInPandas(joined, "sequence_id long, doc_ids array<long>, ids array<int>")
-    )
+    whole = rows.groupBy("sequence_id").agg(ordered.alias("p")).select("sequence_id", F.col("p.doc_id").alias("doc_ids"), F.col("p.ids").alias("parts"))
+    return computed(whole, ["sequence_id", "doc_ids"], ["parts"], joined, {"ids": "array<int>"})

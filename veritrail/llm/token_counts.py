@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, scratch_path, text_or_empty
+from .common import hot_keys, join_hot, materialise, scratch_path, text_or_empty
 from .tokens import encoder, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -53,8 +53,8 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary_name
     cached = read_cache(spark, cache_path, version)
     content = F.regexp_replace(F.col("text"), "[ \\t\\n\\r]+", " ")
     digest = F.unhex(F.sha2(F.concat(F.lit(version + ":"), content), 256))
-    source = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    keyed = source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    keyed = materialise(source.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "token-keys")
 
     def squeeze(frames):
         """Once per digest and input partition, and compressed: what crosses the network."""
@@ -89,4 +89,4 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary_name
     twice = counts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():  # another job appended the same texts meanwhile
         counts = materialise(counts.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
-    return keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return join_hot(keyed, counts, "digest", hot_keys(keyed, "digest")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
