@@ -6,14 +6,17 @@ shard and visits the others whose distance bounds come within the radius (the tr
 no other place for a partner).  A shard orders its residents by distance to a pivot, so that a visitor
 meets only the band of possible partners; what it finds is reduced to a forest before it leaves.
 
+The tree gets deeper as classes get more, to ``MAX_DEPTH`` levels (its sample is bounded); shards that are larger
+than ``RESIDENTS`` or have more than ``GUESTS`` visitors are dealt over tasks, each part of the residents
+meeting each part of the visitors, so no pair is lost and no task grows with the table.
+
 Defined results: null text counts as empty (fingerprint zero, linked like any other); equal texts share a
-component; repeated rows stay rows; an empty table gives an empty result; null ids take their class's
-component.
+component; repeated rows stay rows; rows link through rows whose id is null or repeated like through any other;
+a component is named by its smallest id (null if it has none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,16 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fits_broadcast, materialise, text_or_empty
+from .common import computed, discard, hot_keys, join_hot, materialise, text_or_empty
 from .components import connected_components, merge_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
 #: Bound on the sample that vantage points come from, and classes that a shard is to hold.
-SAMPLE, SHARD = 40_000, 1_024
-MAX_DEPTH = 12
+SAMPLE, SHARD = 1 << 20, 1_024
+MAX_DEPTH = 16
+#: Residents and visitors that meet in one task.
+RESIDENTS, GUESTS = 8_192, 131_072
 _BLOCK = 1 << 20
-#: Lists of ids up to this size may be sent to every executor; larger ones are shuffled.
-BROADCAST_BYTES = 32 << 20
 
 
 def shingle_hashes(text: str, words: int = WORDS, seed: int = SEED) -> np.ndarray:
@@ -63,12 +66,8 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, fp long."""
-
-    def compute(frames):
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "fp": np.array([fingerprint(t, words) for t in frame["text"]], dtype=np.int64)})
-
-    return bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(compute, "doc_id long, fp long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return computed(source, ["doc_id"], ["text"], lambda texts: [(fingerprint(t, words),) for t in texts], {"fp": "long"})
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,12 +136,12 @@ def _links(residents: np.ndarray, guests: np.ndarray, radius: int) -> Iterator[t
 
 
 def _search_shard(shard: pd.DataFrame, radius: int) -> pd.DataFrame:
-    fps = shard["fp"].to_numpy().astype(np.uint64)
-    ids = shard["rep"].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    fps, ids, home = fps[order], ids[order], shard["home"].to_numpy()[order]
-    own, guest = np.flatnonzero(home), np.arange(len(fps))
-    label = np.arange(len(fps))
+    """A forest (src, dst) of the links between the residents of a shard's part and all rows dealt to it."""
+    shard = shard.sort_values("fp", kind="stable")
+    ids, node = np.unique(shard["fp"].to_numpy(), return_inverse=True)
+    fps = ids.view(np.uint64)
+    own, guest = np.unique(node[shard["own"].to_numpy()]), np.unique(node[shard["guest"].to_numpy()])
+    label = np.arange(len(ids))
     if len(own):
         for g, r in _links(fps[own], fps[guest], radius):
             label = merge_labels(label, guest[g], own[r])
@@ -150,62 +149,48 @@ def _search_shard(shard: pd.DataFrame, radius: int) -> pd.DataFrame:
     return pd.DataFrame({"src": ids[moved], "dst": ids[label[moved]]})
 
 
-def classes(prints: DataFrame) -> DataFrame:
-    """fp, rep (smallest id that has it)."""
-    return prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-
-
-def near_edges(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (src, dst) between classes whose closure is that of all pairs within the radius."""
-    spark = reps.sparkSession
-    n = reps.count()
+def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (src, dst) between different fingerprints (a materialised column fp, no nulls) whose closure is that
+    of all pairs within the radius."""
+    spark = fps.sparkSession
+    n = fps.count()
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
-    ratio = min(1.0, SAMPLE / max(1, n))
-    chosen = reps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(ratio * (1 << 30))).select("fp").limit(2 * SAMPLE)
-    sample = np.array([r.fp for r in chosen.collect()] if depth else [], dtype=np.int64).astype(np.uint64)
-    tree = VantageTree(np.sort(sample), depth)
-    shared = spark.sparkContext.broadcast(tree)
+    ratio = min(1.0, min(SAMPLE, 16 << depth) / max(1, n))
+    chosen = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(ratio * (1 << 30))).select("fp").limit(2 * SAMPLE)
+    sample = chosen.toPandas()["fp"].to_numpy(dtype=np.int64) if depth else np.zeros(0, dtype=np.int64)
+    shared = spark.sparkContext.broadcast(VantageTree(np.sort(sample.view(np.uint64)), depth))
 
     def place(frames):
         tree = shared.value
         for frame in frames:
             for at in range(0, len(frame), 4096):
-                part = frame.iloc[at : at + 4096]
-                fps, rep = part["fp"].to_numpy(), part["rep"].to_numpy()
-                home = tree.home(fps.astype(np.uint64))
-                row, shard = tree.visits(fps.astype(np.uint64), radius)
+                fps = frame["fp"].to_numpy(dtype=np.int64)[at : at + 4096]
+                home = tree.home(fps.view(np.uint64))
+                row, shard = tree.visits(fps.view(np.uint64), radius)
                 keep = shard <= home[row]  # of two shards, the later one's classes visit
                 row, shard = row[keep], shard[keep]
-                yield pd.DataFrame({"shard": shard, "home": shard == home[row], "fp": fps[row], "rep": rep[row]})
+                yield pd.DataFrame({"shard": shard, "home": shard == home[row], "fp": fps[row]})
 
-    placed = reps.where("rep is not null").mapInPandas(place, "shard long, home boolean, fp long, rep long")
-    return placed.groupBy("shard").applyInPandas(lambda f: _search_shard(f, radius), "src long, dst long")
+    placed = materialise(fps.select("fp").mapInPandas(place, "shard long, home boolean, fp long"), "simhash-placed")
+    # one row a shard: at most 2 ** MAX_DEPTH
+    sizes = placed.groupBy("shard").agg(F.ceil(F.count_if("home") / RESIDENTS).cast("int").alias("parts"), F.ceil(F.count("*") / GUESTS).cast("int").alias("blocks"))
+    sized = placed.join(F.broadcast(sizes.where("parts > 0")), "shard")
+    part, block = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int")
+    task = lambda p, b, own, guest: F.struct(p.alias("part"), b.alias("block"), own.alias("own"), guest.alias("guest"))
+    # a resident is there for every block of visitors, and is a visitor itself in its own block
+    stays = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: task(part, b, F.lit(True), F.lit(False)))
+    visits = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: task(p, block, F.lit(False), F.lit(True)))
+    dealt = sized.select("shard", "fp", F.explode(F.when(F.col("home"), F.concat(stays, visits)).otherwise(visits)).alias("t")).select("shard", "fp", "t.*")
+    return dealt.groupBy("shard", "part", "block").applyInPandas(lambda f: _search_shard(f, radius), "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     prints = materialise(fingerprints(docs, words), "simhash-fp")
-    reps = materialise(classes(prints), "simhash-class")
-    joined = connected_components(near_edges(reps, radius)).withColumnRenamed("node", "rep")
-    owner = materialise(reps.join(joined, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-owner")
-    return prints.join(owner, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, components: DataFrame) -> DataFrame:
-    """All columns of the rows that stay, for components (doc_id, component_id) of the same rows: of each group
-    of near-duplicates the document of the smallest id, and of rows that repeat an id one.  Rows without an id
-    cannot be told apart and stay."""
-    found = materialise(components.select("doc_id", "component_id"), "simhash-groups").where("doc_id is not null")
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "simhash-gone")
-    again = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    again = materialise(again.select(F.col("doc_id").alias("__again")), "simhash-again")
-    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("__id"))
-
-    def small(df):
-        return F.broadcast(df) if fits_broadcast(df, 16, BROADCAST_BYTES) else df
-
-    left = row.join(small(gone), F.col("__id") == F.col("__gone"), "left_anti")
-    if not again.isEmpty():
-        repeated = left.join(small(again), F.col("__id") == F.col("__again"), "left_semi").groupBy("__id").agg(F.first("row").alias("row"))
-        left = left.join(small(again), F.col("__id") == F.col("__again"), "left_anti").select("row").unionAll(repeated.select("row"))
-    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-class")
+    joined = connected_components(near_edges(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    named = materialise(reps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-component")
+    least = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "simhash-least")
+    owner = materialise(join_hot(named, least, "component", hot_keys(named, "component")).select("fp", "component_id"), "simhash-owner")
+    discard(reps, named, least)
+    return join_hot(prints, owner, "fp", hot_keys(prints, "fp")).select("doc_id", "fp", "component_id")
