@@ -1,20 +1,22 @@
 """Embedding near-duplicates: iterative quantisation, multi-index Hamming tables, exact reranking.
 
-A rotation of the principal axes is learned from a bounded sample so that signs make balanced binary codes.
-The code is cut into stretches, each the index of a table: vectors of one label that share a
-stretch meet in that table's bucket, and their original vectors are compared in double precision.  A pair is
-counted in the first table where it meets.  Buckets of more than ``CHUNK`` rows are dealt into chunks, and
-every two chunks meet in a task of their own: nothing is dropped, no task holds more than two chunks, and
-only sums of links and a spanning forest leave a task.
+Equal vectors of a label are one class with a count, so copies cost nothing further on.  A rotation of the
+principal axes is learned from a bounded sample so that signs make balanced binary codes.  The code is cut into
+stretches, each the index of a table: classes of one label that share a stretch meet in that table's bucket, and
+their original vectors are compared in double precision.  A pair is counted in the first table where it meets.
+Buckets of more than ``CHUNK`` classes are dealt into chunks, and every two chunks meet in a task of their own:
+nothing is dropped, no task holds more than two chunks, and only sums of links and a spanning forest leave a task.
 
 Code stretches get longer as labels get larger (more rotations are learned when the bits run out), and a longer
 stretch is missed more often; so there are as many tables (``TABLES`` at least) as keep the miss of a pair at
 the threshold under ``MISS``.  The count takes a bit to differ as often as the side of a random plane does,
-in angle / pi of all cases; the learned bits differ less often.
+in angle / pi of all cases; the learned bits differ less often.  Vectors of a length that no label has more than
+``EXACT`` of need no codes: each label is one bucket.
 
 Defined results: vectors that are null, zero or hold null or non-finite components, and rows of null label,
-link with nothing and are components of their own; vectors of different lengths do not meet; repeated rows
-count as other vectors; an empty table gives an empty result.
+link with nothing and are components of their own; vectors of different lengths do not meet; rows that repeat an
+id, or have none, are vectors like others: they link, and carry links on.  A component is named by its smallest
+id (null if it has none); ``kept`` compares null-safely.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, materialise
+from .common import bounded_sample, deal, discard, fits_broadcast, hot_keys, join_hot, materialise
 from .components import connected_components, merge_labels
 
 THRESHOLD = 0.93
-TABLES, CHUNK = 10, 512
+TABLES, CHUNK, EXACT = 10, 4_096, 512
 #: Share of the pairs at the threshold that may meet in no table, by the count of ``tables_for``.
 MISS = 0.01
-#: Vectors that the rotation is learned from, at most (about), and rows that a bucket is to hold.
-SAMPLE, BUCKET = 20_000, 32
+#: Bounds on the sample that a rotation is learned from (vectors, and numbers in all), and rows that a bucket is to hold.
+SAMPLE, SAMPLE_VALUES, BUCKET = 20_000, 1 << 22, 32
 ROUNDS = 40
 BROADCAST_BYTES = 8 << 20
 
@@ -76,135 +79,159 @@ class Quantiser:
         return bits.reshape(len(unit), self.tables, -1) @ self.weights
 
 
-def unit_vectors(column) -> tuple[list[np.ndarray | None], np.ndarray]:
-    """Vectors in double precision (None if not usable) and which are usable."""
+class OneBucket:
+    """All vectors of a label meet."""
+
+    tables = 1
+
+    def stretches(self, unit: np.ndarray) -> np.ndarray:
+        return np.zeros((len(unit), 1), dtype=np.int64)
+
+
+def unit_vectors(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors of length 1 in double precision) of the usable vectors, one length at a time."""
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)  # null components become NaN
+    offsets = column.offsets.to_numpy()
+    size = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(offsets))
+    for dim in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == dim)
+        x = values[offsets[rows][:, None] + np.arange(dim)]
+        fine = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        rows, x = rows[fine], x[fine]
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        yield rows, x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _quantisers(rows: DataFrame, threshold: float) -> dict[int, Quantiser | OneBucket]:
+    """By the length of vectors; all samples come in one collection."""
+    sizes = rows.groupBy(F.size("embedding").alias("dim"), "label").agg(F.count("*").alias("n"))
+    dims = {r["dim"]: r for r in sizes.groupBy("dim").agg(F.max("n").alias("largest"), F.sum("n").alias("total")).where("dim > 0").collect()}
+    learned = {d: r for d, r in dims.items() if r["largest"] > EXACT}
+    out: dict[int, Quantiser | OneBucket] = {d: OneBucket() for d in dims}
+    if not learned:
+        return out
+    bounds = {d: (max(2, min(SAMPLE, SAMPLE_VALUES // (d * len(learned)))), r["total"]) for d, r in learned.items()}
+    picked = bounded_sample(rows.withColumn("dim", F.size("embedding")), "dim", "embedding", bounds).orderBy("dim", "h").select("embedding").toArrow()
+    found: dict[int, list[np.ndarray]] = {}
+    for chunk in picked.column("embedding").chunks:
+        for _, x in unit_vectors(chunk):
+            found.setdefault(x.shape[1], []).append(x)
+    for d, parts in found.items():
+        stretch = int(min(30, max(6, math.ceil(math.log2(learned[d]["largest"] / BUCKET)))))
+        out[d] = Quantiser(np.concatenate(parts), stretch, threshold)
+    return out
+
+
+def _links_of_run(x: np.ndarray, subs: np.ndarray, t: int, a: np.ndarray, b: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows a x b at or above the threshold that meet in no earlier table, block by block."""
+    same = len(a) == len(b) and bool((a == b).all())
+    for at in range(0, len(a), 1024):
+        i, j = np.nonzero(x[a[at : at + 1024]] @ x[b].T >= threshold)
+        i, j = a[at + i], b[j]
+        if same:
+            i, j = i[i < j], j[i < j]
+        if t and len(i):
+            new = (subs[i, :t] != subs[j, :t]).all(axis=1)
+            i, j = i[new], j[new]
+        if len(i):
+            yield i, j
+
+
+_KEYS = ["label", "dim", "t", "sub", "a", "b"]
+
+
+def _settle(frame: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """cid, dst (a class of the same component), n (links) of the whole runs of equal keys of a frame."""
+    key = frame[_KEYS].to_numpy()
+    cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(frame)]))
+    vec, codes, cid, count, own = (frame[c].to_numpy() for c in ("vec", "codes", "cid", "n", "own"))
     out = []
-    for v in column:
-        a = None if v is None else np.asarray(v, dtype=np.float64)
-        if a is None or not len(a) or not np.isfinite(a).all() or not a.any():
-            out.append(None)
-        else:
-            a = a / np.abs(a).max()
-            out.append(a / np.sqrt(a @ a))
-    return out, np.array([a is not None for a in out], dtype=bool)
-
-
-def _learn(rows: DataFrame, dim: int, largest: int, total: int, threshold: float) -> Quantiser | None:
-    unit = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20)
-    picked = rows.where(F.size("embedding") == dim).where(unit < min(1.0, SAMPLE / max(1, total))).select("embedding").limit(2 * SAMPLE).toPandas()
-    vectors, ok = unit_vectors(picked["embedding"])
-    if not ok.any():
-        return None
-    stretch = int(min(30, max(6, math.ceil(math.log2(max(2, largest / BUCKET))))))
-    return Quantiser(np.array([v for v in vectors if v is not None]), stretch, threshold)
-
-
-def _links_of_run(x: np.ndarray, subs: np.ndarray, t: int, a: np.ndarray, b: np.ndarray, threshold: float):
-    """Pairs (i, j) of rows a x b at or above the threshold that meet in no earlier table."""
-    i, j = np.nonzero(x[a] @ x[b].T >= threshold)
-    i, j = a[i], b[j]
-    if len(a) == len(b) and (a == b).all():
-        i, j = i[i < j], j[i < j]
-    if t and len(i):
-        new = (subs[i, :t] != subs[j, :t]).all(axis=1)
-        i, j = i[new], j[new]
-    return i, j
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        if e - s < 2:
+            continue
+        x = np.frombuffer(b"".join(vec[s:e]), dtype="<f8").reshape(e - s, -1)
+        subs = np.frombuffer(b"".join(codes[s:e]), dtype="<i4").reshape(e - s, -1)
+        _, _, t, _, a, b = key[s]
+        left = np.flatnonzero(own[s:e] == a)
+        right = left if a == b else np.flatnonzero(own[s:e] == b)
+        weight, links, label = count[s:e].astype(np.float64), np.zeros(e - s), np.arange(e - s)
+        for i, j in _links_of_run(x, subs, t, left, right, threshold):
+            links += np.bincount(i, weight[j], e - s) + np.bincount(j, weight[i], e - s)
+            label = merge_labels(label, i, j)
+        hit = np.flatnonzero(links)
+        if len(hit):
+            out.append((cid[s:e][hit], cid[s:e][label[hit]], links[hit].astype(np.int64)))
+    if not out:
+        return pd.DataFrame({"cid": [], "dst": [], "n": []}, dtype="int64")
+    return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("cid", "dst", "n"))})
 
 
 def _meet(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
-    """Runs of equal (label, dim, t, sub, a, b) in sorted rows; a run may continue in the next batch."""
-    keys = ["label", "dim", "t", "sub", "a", "b"]
-    rest = None
-
-    def settle(frame: pd.DataFrame) -> pd.DataFrame:
-        key = frame[keys].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1, [len(frame)]))
-        vec, rid, vid = frame["vec"].to_numpy(), frame["rid"].to_numpy(), frame["vec_id"]
-        vid = vid.fillna(-1).to_numpy().astype(np.int64)
-        own, codes, out = frame["own"].to_numpy(), frame["subs"].to_numpy(), []
-        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-            if e - s < 2:
-                continue
-            x = np.frombuffer(b"".join(vec[s:e]), dtype="<f8").reshape(e - s, -1)
-            subs = np.frombuffer(b"".join(codes[s:e]), dtype="<i4").reshape(e - s, -1)
-            _, _, t, _, a, b = key[s]
-            left = np.flatnonzero(own[s:e] == a)
-            right = left if a == b else np.flatnonzero(own[s:e] == b)
-            i, j = _links_of_run(x, subs, t, left, right, threshold)
-            if len(i):
-                n = np.bincount(i, minlength=e - s) + np.bincount(j, minlength=e - s)
-                order = np.argsort(vid[s:e], kind="stable")
-                place = np.empty(e - s, dtype=np.int64)
-                place[order] = np.arange(e - s)
-                label = merge_labels(np.arange(e - s), place[i], place[j])
-                hit = np.flatnonzero(n)
-                out.append((rid[s:e][hit], vid[s:e][hit], vid[s:e][order[label[place[hit]]]], n[hit]))
-        if not out:
-            return pd.DataFrame({"rid": [], "src": [], "dst": [], "n": []}, dtype="int64")
-        return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("rid", "src", "dst", "n"))})
-
+    """Runs of equal keys in sorted rows; a run may continue in the next batch."""
+    rest: list[pd.DataFrame] = []
     for frame in frames:
-        if rest is not None:
-            frame = pd.concat([rest, frame], ignore_index=True)
         if not len(frame):
             continue
-        key = frame[keys].to_numpy()
-        tail = np.flatnonzero((key != key[-1]).any(axis=1))
-        cut = int(tail[-1]) + 1 if len(tail) else 0
-        rest = frame.iloc[cut:]
-        if cut:
-            yield settle(frame.iloc[:cut])
-    if rest is not None and len(rest):
-        yield settle(rest)
+        key = frame[_KEYS].to_numpy()
+        other = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if not cut and rest and (rest[-1][_KEYS].iloc[-1].to_numpy() == key[0]).all():
+            rest.append(frame)
+            continue
+        whole = [*rest, frame.iloc[:cut]]
+        rest = [frame.iloc[cut:]]
+        yield _settle(pd.concat(whole, ignore_index=True), threshold)
+    if rest:
+        yield _settle(pd.concat(rest, ignore_index=True), threshold)
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     spark = table.sparkSession
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
-    sizes = rows.where("label is not null and embedding is not null").groupBy(F.size("embedding").alias("dim"), "label").agg(F.count("*").alias("n"))
-    dims = sizes.groupBy("dim").agg(F.max("n").alias("largest"), F.sum("n").alias("total")).where("dim > 0").collect()
-    quantisers = {r["dim"]: q for r in dims if (q := _learn(rows.where("label is not null"), r["dim"], r["largest"], r["total"], threshold))}
-    shared = spark.sparkContext.broadcast(quantisers)
-
-    def encode(frames):
-        for frame in frames:
-            unit, ok = unit_vectors(frame["embedding"])
-            vec, subs, dim = [None] * len(frame), [None] * len(frame), [0] * len(frame)
-            labelled = frame["label"].notna().to_numpy()
-            for d, q in shared.value.items():
-                at = [k for k, u in enumerate(unit) if u is not None and labelled[k] and len(u) == d]
-                if at:
-                    codes = q.stretches(np.array([unit[k] for k in at])).astype("<i4")
-                    for k, c in zip(at, codes, strict=True):
-                        vec[k], subs[k], dim[k] = unit[k].astype("<f8").tobytes(), c.tolist(), d
-            yield pd.DataFrame({"rid": frame["rid"], "vec_id": frame["vec_id"], "label": frame["label"], "dim": dim, "vec": vec, "subs": subs})
-
-    coded = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", "vec_id", "label", "embedding")
-    coded = materialise(coded.mapInPandas(encode, "rid long, vec_id long, label long, dim int, vec binary, subs array<int>"), "itq-codes")
-    usable = coded.where("subs is not null")
+    shared = spark.sparkContext.broadcast(_quantisers(rows.where("label is not null and embedding is not null"), threshold))
+
+    def encode(batches):
+        for batch in batches:
+            label = batch.column("label")
+            vec, codes, dim = [None] * len(batch), [None] * len(batch), [0] * len(batch)
+            labelled = label.is_valid().to_numpy(zero_copy_only=False)
+            for at, unit in unit_vectors(batch.column("embedding")):
+                own = shared.value.get(unit.shape[1]) if len(at) else None
+                if own is None:
+                    continue
+                found = own.stretches(unit).astype("<i4")
+                for k, u, c in zip(at.tolist(), unit.astype("<f8"), found, strict=True):
+                    if labelled[k]:
+                        vec[k], codes[k], dim[k] = u.tobytes(), c.tobytes(), unit.shape[1]
+            arrays = [batch.column("vec_id"), label, pa.array(dim, pa.int32()), pa.array(vec, pa.binary()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "label", "dim", "vec", "codes"])
+
+    coded = rows.mapInArrow(encode, "vec_id long, label long, dim int, vec binary, codes binary")
+    digest = F.md5(F.concat("vec", F.encode(F.concat_ws(":", F.col("label").cast("string"), F.col("dim").cast("string")), "utf-8")))
+    coded = materialise(coded.withColumn("digest", digest), "itq-codes")
+    usable = coded.where("vec is not null")
+    classes = usable.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("label", "dim", "vec", "codes")), F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "itq-classes")
+
+    tables = F.transform(F.sequence(F.lit(0), (F.octet_length("codes") / 4).cast("int") - 1), lambda t: F.struct(t.alias("t"), F.substring("codes", 4 * t + 1, 4).alias("sub")))
+    spread = classes.select("cid", "n", "label", "dim", "vec", "codes", F.explode(tables).alias("at")).select("cid", "n", "label", "dim", "vec", "codes", "at.t", F.conv(F.hex("at.sub"), 16, 10).cast("long").alias("sub"))
     bucket = ["label", "dim", "t", "sub"]
-    spread = usable.select("rid", "vec_id", "label", "dim", "vec", "subs", F.posexplode("subs").alias("t", "sub"))
-    hot = spread.groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    hot = materialise(hot.select(*bucket, F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "itq-hot")
-    if fits_broadcast(hot, 64, BROADCAST_BYTES):
-        hot = F.broadcast(hot)
-    own = F.when(F.col("chunks").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.col("chunks")).cast("int"))
-    placed = spread.join(hot, bucket, "left").withColumn("own", own)
-    partners = F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)
-    placed = placed.withColumn("other", F.explode(partners)).select(
-        "label", "dim", "t", "sub", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rid", "vec_id", "vec", "subs",
-    )
-    keys = ["label", "dim", "t", "sub", "a", "b"]
-    dealt = placed.repartition(*keys).sortWithinPartitions(*keys)
-
-    def meet(frames):
-        packed = (f.assign(subs=[np.asarray(s, dtype="<i4").tobytes() for s in f["subs"]], vec=[bytes(v) for v in f["vec"]]) for f in frames)
-        return _meet(packed, threshold)
-
-    met = materialise(dealt.mapInPandas(meet, "rid long, src long, dst long, n long"), "itq-links")
-    links = met.groupBy("rid").agg(F.sum("n").alias("n_links"))
-    joined = connected_components(met.where("src >= 0 and dst >= 0").select("src", "dst")).withColumnRenamed("node", "vec_id")
-    out = coded.select("rid", "vec_id").join(links, "rid", "left").join(joined, "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    large = spread.groupBy(*bucket).agg(F.count("*").alias("size")).where(F.col("size") > CHUNK)
+    large = materialise(large.select(*bucket, F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks")), "itq-large")
+    if fits_broadcast(large, 64, BROADCAST_BYTES):
+        large = F.broadcast(large)
+    dealt = deal(spread.join(large, bucket, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1))), F.col("chunks"), "cid").drop("chunks")
+    dealt = dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS)
+    met = materialise(dealt.mapInPandas(lambda frames: _meet(frames, threshold), "cid long, dst long, n long"), "itq-links")
+    links = met.groupBy("cid").agg(F.sum("n").alias("links"))
+    joined = connected_components(met.select(F.col("cid").alias("src"), "dst")).withColumnRenamed("node", "cid")
+    named = classes.select("cid", "digest", "n", "least").join(links, "cid", "left").join(joined, "cid", "left")
+    named = materialise(named.select("digest", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component")), "itq-named")
+    smallest = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "itq-smallest")
+    owner = materialise(join_hot(named, smallest, "component", hot_keys(named, "component")).select("digest", "n_links", "component_id"), "itq-owner")
+    discard(classes, met, named, smallest)
+    some = coded.where("digest is not null").select("vec_id", "digest")
+    out = join_hot(some, owner, "digest", hot_keys(some, "digest")).select("vec_id", "n_links", "component_id")
+    out = out.unionByName(coded.where("digest is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
