@@ -1,132 +1,155 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries share what ordinary text trains; the toxic one continues with stretches of words
-that are over-represented in toxic documents.  (A dictionary trained on toxic windows in its place tells far
-less, as toxic documents are ordinary text for the most part; the README has the figures.)  A text is cut into windows of words; for each window the
-difference of its two compressed lengths says how much better the toxic dictionary explains it.  A text's
-differences are summed up in six numbers, which a logistic curve, fitted on documents that the dictionaries
-have not seen, turns into a score; the curve is shifted so that the best threshold found is ``DECISION``.
-
-The classifier is fitted on a bounded sample (``MAX_TOXIC`` and ``MAX_ORDINARY`` labelled documents of at
-most ``MAX_CHARS`` characters, chosen by a hash of their ids); every text is scored whole.
-
-Defined results: null text counts as empty; empty texts get the score of a text without evidence; with no
-labels of both kinds every score is 0; repeated rows get equal scores.
+One zstandard dictionary is trained on ordinary text, others on toxic text.  A text is cut into windows of words; a
+window's evidence is how many bytes shorter it gets when the toxic dictionary stands behind the ordinary one, under
+the ordinary one's entropy tables.  (So what both kinds of text share costs the same on both sides, and only what
+the toxic text alone has taught counts.)  A text's evidence is summed up in a few numbers, which a logistic curve,
+fitted on documents that the dictionaries have not seen, turns into a score; the curve is shifted so that the best
+threshold found is ``DECISION``.
+
+Toxic documents are ordinary text for the most part, so the toxic dictionaries are trained on toxic windows alone:
+
+* At first those windows of toxic documents that the ordinary dictionary compresses worst for their length.
+* Then the toxic documents are halved.  The dictionary of one half picks the windows of the other half that it
+  shortens more than all but ``FALSE`` of ordinary windows, and a new dictionary is trained on those; the halves take
+  turns.  What is peculiar to single documents does not recur in the other half and drops out.
+* Both halves' last dictionaries stay, and a window's evidence is the smaller of theirs.
+
+This is done from several ``STARTS``; the dictionaries that tell the documents apart best that calibrate, stay.
+
+The classifier is fitted on a bounded sample: at most ``MAX_TOXIC`` and ``MAX_ORDINARY`` different labelled texts of at
+most ``MAX_CHARS`` characters, and ``MAX_BYTES`` of each kind, chosen by a hash of the texts; the bound is enforced
+before anything is collected.  Every text is scored whole.
+
+Defined results: null text counts as empty; empty texts get the score of a text without evidence; with no labels of
+both kinds every score is 0; ids may be null, negative or repeated and are carried exactly; repeated rows get equal
+scores; of several labels of an id the largest counts, a null id has none.
 """
 
 from __future__ import annotations
 
 import functools
-import math
 import re
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_or_empty
+from .common import bounded_sample, computed, fits_broadcast, materialise, text_or_empty
 from .langid import held_out_column
 
-MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 1_500, 4_500, 100_000
+MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, MAX_BYTES = 2_500, 5_000, 100_000, 20_000_000
 DECISION = 0.3
-WINDOW, GRAM = 8, 5
-#: A stretch counts as toxic when it is in this many toxic documents, this many times as frequent as among
-#: ordinary ones, and in more toxic documents than chance would bring any of all stretches to.
-LEAST, RATIO = 3, 30
-#: Bytes of the ordinary dictionary, and windows that it is trained on, at most: they are drawn at random from
-#: all windows of the ordinary documents, and 40,000 hold over 100 times what the dictionary can.
-DICTIONARY, TRAINED_ON = 16_384, 40_000
+WINDOW = 8
+#: Bytes of the ordinary and of a toxic dictionary, at most, and the (k, d) that zstandard's trainer takes.
+ORDINARY, TOXIC = 2_500_000, 4_096
+SEGMENTS = (32, 8)
+#: Share of the toxic windows that the first dictionary is trained on (``LEAST`` windows at least), and the toxic
+#: dictionaries' (k, d).
+STARTS = ((0.01, (10, 8)), (0.02, (12, 8)), (0.01, (12, 8)), (0.02, (10, 8)))
+#: Turns of the halves, share of ordinary windows that may pass a turn's threshold, ordinary windows that it is
+#: measured on.
+LEAST, TURNS, FALSE, MEASURED = 200, 8, 0.001, 60_000
+#: Share of the sample that calibrates, and documents that do, at most.
+CALIBRATION, MAX_CALIBRATION = 0.25, 2_000
+#: Bytes saved from which a window counts, for the counting features.
+STEPS = (2, 3, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     ordinary: bytes = b""
-    toxic: bytes = b""
+    toxic: tuple[bytes, ...] = ()
     weights: tuple[float, ...] = ()
 
 
-@functools.lru_cache(maxsize=4)
-def _compressor(dictionary: bytes):
+def compressor(dictionary: bytes, fine: bool = False):
+    """Compresses one window; the dictionary (full, or plain text where there was too little to train on) is
+    prepared once.  Matches are 7 bytes or longer, so that syllables which all texts share count little; ``fine``:
+    the best parse with matches of 3 bytes, to tell how usual a window is."""
     import zstandard as z
 
-    content = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+    content = z.ZstdCompressionDict(dictionary)
     shape = z.ZstdCompressionParameters(
-        window_log=17, chain_log=15, hash_log=15, search_log=5, min_match=6, target_length=32, strategy=z.STRATEGY_GREEDY,
+        window_log=21, chain_log=18, hash_log=18, search_log=5, min_match=3 if fine else 7, target_length=32, strategy=z.STRATEGY_BTOPT if fine else z.STRATEGY_GREEDY,
         write_content_size=False, write_checksum=False, write_dict_id=False,
-    )
+    )
     content.precompute_compress(compression_params=shape)
     return z.ZstdCompressor(dict_data=content, compression_params=shape).compress
 
 
-def windows(text: str) -> list[bytes]:
-    words = _WORD.findall(text.lower())
-    return [f" {' '.join(words[k : k + WINDOW])} ".encode("utf-8", "surrogatepass") for k in range(0, len(words), WINDOW)]
+_kept_compressor = functools.lru_cache(maxsize=4)(compressor)
 
 
-def evidence(text: str, model: ToxicityModel) -> list[float]:
-    """Of the differences: largest, mean of the top three, log of the count, mean, logs of how many are 4 and 6."""
-    plain, toxic = _compressor(model.ordinary), _compressor(model.toxic)
-    d = np.array([len(plain(w)) - len(toxic(w)) for w in windows(text)] or [0])
-    top = np.sort(d)[::-1][:3]
-    return [float(top[0]), float(top.mean()), float(np.log1p(len(d))), float(d.mean()), float(np.log1p((d >= 4).sum())), float(np.log1p((d >= 6).sum()))]
+def trained(samples: list[bytes], size: int, segments: tuple[int, int]) -> bytes:
+    """A zstandard dictionary of the samples; their plain text where they are too few."""
+    import zstandard
 
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=segments[0], d=segments[1]).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(samples)[-4096:] or b" " * 8
 
-def _grams(word: str) -> list[str]:
-    edged = f" {word} "
-    return [edged[k : k + GRAM] for k in range(len(edged) - GRAM + 1)]
 
+def windows(text: str) -> list[bytes]:
+    words = _WORD.findall(text.lower())
+    return [f" {' '.join(words[k : k + WINDOW])} ".encode("utf-8", "surrogatepass") for k in range(0, len(words), WINDOW)]
 
-def _by_chance(n: int, others: int, share: float) -> float:
-    """Bound (Chernoff) on the chance that of n + others documents n or more are of a kind with this share."""
-    k = n + others
-    if n <= share * k:
-        return 1.0
-    return math.exp(-n * math.log(n / k / share) - (others * math.log(others / k / (1 - share)) if others else 0.0))
 
+def saved(found: list[bytes], model: ToxicityModel) -> np.ndarray:
+    """Bytes that the toxic dictionaries save of each window; the further ones are asked where the first saves any."""
+    plain, *others = (_kept_compressor(d) for d in (model.ordinary, *(model.ordinary + t for t in model.toxic)))
+    out = []
+    for w in found:
+        before = len(plain(w))
+        least = before - len(others[0](w))
+        for other in others[1:]:
+            if least > 0:
+                least = min(least, before - len(other(w)))
+        out.append(least)
+    return np.array(out or [0])
 
-def _dictionaries(toxic: list[str], ordinary: list[str]) -> ToxicityModel:
-    import zstandard
 
-    def spread(texts):
-        seen = Counter()
-        for t in texts:
-            seen.update({g for w in set(_WORD.findall(t.lower())) for g in _grams(w)})
-        return seen
-
-    bad, good = spread(toxic), spread(ordinary)
-    tried = {g: n for g, n in bad.items() if n >= LEAST}
-    share = len(toxic) / (len(toxic) + len(ordinary))
-    often = {g: n for g, n in tried.items() if n / len(toxic) >= RATIO * (good[g] + 0.5) / len(ordinary)}
-    # copies of a document say nothing new: a word counts with neighbours that no earlier document has
-    apart, met = Counter(), set()
-    for t in toxic:
-        found, new = ["", *_WORD.findall(t.lower()), ""], set()
-        for around in zip(found, found[1:], found[2:]):
-            hit = [g for g in _grams(around[1]) if g in often]
-            if hit and around not in met:
-                met.add(around)
-                new.update(hit)
-        apart.update(new)
-    over = {g for g, n in apart.items() if n >= LEAST and _by_chance(n, good[g], share) * len(tried) <= 1}
-    stretches: Counter = Counter()
-    for t in toxic:
-        for w in _WORD.findall(t.lower()):
-            hit = [k for k, g in enumerate(_grams(w)) if g in over]
-            if hit:
-                stretches[f" {w} "[hit[0] : hit[-1] + GRAM]] += 1
-    found = [s for s, n in sorted(stretches.items(), key=lambda x: (x[1], x[0])) if n >= LEAST]
-    samples = [w for t in ordinary for w in windows(t)]
-    pick = np.random.default_rng(5).permutation(len(samples))[:TRAINED_ON]
-    samples = [samples[k] for k in pick]
-    try:
-        plain = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        plain = b"".join(samples)[-DICTIONARY:] or b" " * 8
-    return ToxicityModel(plain, plain + (" ".join(found) + " ").encode("utf-8", "surrogatepass"))
+def evidence(text: str, model: ToxicityModel) -> list[float]:
+    """Of the bytes saved: largest, mean of the top three, log of the windows' number, mean, logs of how many reach
+    each of ``STEPS``."""
+    d = saved(windows(text), model)
+    top = np.sort(d)[::-1][:3]
+    return [float(top[0]), float(top.mean()), float(np.log1p(len(d))), float(d.mean()), *(float(np.log1p((d >= s).sum())) for s in STEPS)]
+
+
+def _lengths(compress, found: list[bytes]) -> np.ndarray:
+    return np.fromiter((len(compress(w)) for w in found), np.int64, len(found))
+
+
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> Iterator[ToxicityModel]:
+    """A pair of dictionaries, without weights, for every start."""
+    rng = np.random.default_rng(5)
+    usual = [w for t in ordinary for w in windows(t)]
+    plain = trained(usual, ORDINARY, SEGMENTS)
+    measured = [usual[k] for k in rng.permutation(len(usual))[:MEASURED]]
+    halves = [[w for t in toxic[k::2] for w in windows(t)] for k in (0, 1)]
+    fine = compressor(plain, fine=True)
+    size = lambda found: np.fromiter(map(len, found), np.float64, len(found))
+    slope, base = np.polyfit(size(measured), _lengths(fine, measured), 1) if len(set(map(len, measured))) > 1 else (0.0, 0.0)
+    strange = [np.argsort(size(h) * slope + base - _lengths(fine, h), kind="stable") for h in halves]
+    compress = compressor(plain)
+    usual_length, length = _lengths(compress, measured), [_lengths(compress, h) for h in halves]
+    for first, segments in STARTS:
+        picked = [s[: max(LEAST, int(first * len(s)))] for s in strange]
+        for turn in range(TURNS):
+            own, other = turn % 2, 1 - turn % 2
+            compress = compressor(plain + trained([halves[own][k] for k in picked[own]], TOXIC, segments))
+            bar = max(2.0, float(np.quantile(usual_length - _lengths(compress, measured), 1 - FALSE))) if len(measured) else 2.0
+            hit = np.flatnonzero(length[other] - _lengths(compress, halves[other]) >= bar)
+            if len(hit):
+                picked[other] = hit
+        yield ToxicityModel(plain, tuple(trained([h[k] for k in p], TOXIC, segments) for h, p in zip(halves, picked, strict=True) if len(h)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
@@ -153,18 +176,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
     return (*raw.tolist(), float(w[-1] - raw @ mean - cut + np.log(DECISION / (1 - DECISION))))
 
 
+def _told_apart(value: np.ndarray, y: np.ndarray) -> float:
+    """Share of the pairs of a toxic and another document in which the toxic one has the higher value."""
+    toxic, others = value[y == 1], np.sort(value[y == 0])
+    below = np.searchsorted(others, toxic, "left") + np.searchsorted(others, toxic, "right")
+    return float(below.mean() / 2 / max(1, len(others))) if len(toxic) else 0.0
+
+
 def train(texts: list[str], labels: list[int], prior: float) -> ToxicityModel:
     y = np.array(labels)
-    fold = np.random.default_rng(11).random(len(y)) < 0.3
+    rng = np.random.default_rng(11)
+    fold = rng.random(len(y)) < CALIBRATION
     groups = [[texts[i] for i in np.flatnonzero((y == k) & ~fold)] for k in (1, 0)]
-    if not all(groups):
+    if not all(any(windows(t) for t in g) for g in groups):
         return ToxicityModel()
-    model = _dictionaries(*groups)
     check = np.flatnonzero(fold)
     if len(set(y[check].tolist())) < 2:
         check = np.arange(len(y))
-    x = np.array([evidence(texts[i], model) for i in check])
-    return ToxicityModel(model.ordinary, model.toxic, _logistic(x, y[check], prior))
+    check = rng.permutation(check)[:MAX_CALIBRATION]
+    best, told = None, -1.0
+    for model in _dictionaries(*groups):
+        x = np.array([evidence(texts[i], model) for i in check])
+        weights = _logistic(x, y[check], prior)
+        if (now := _told_apart(x @ np.array(weights[:-1]), y[check])) > told:
+            best, told = ToxicityModel(model.ordinary, model.toxic, weights), now
+    return best
 
 
 def score(text: str | None, model: ToxicityModel) -> float:
@@ -176,29 +212,20 @@ def score(text: str | None, model: ToxicityModel) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learn from documents that have a label (of several, the largest) and are not held out."""
-    known = labels.where("toxic is not null and doc_id is not null").where(~held_out_column()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
-    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where("toxic is not null and doc_id is not null").where(~held_out_column())
+    known = materialise(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic")), "toxic-labels")
+    side = F.broadcast(known) if fits_broadcast(known, 16, 8 << 20) else known
+    held = docs.where(F.length("text") <= MAX_CHARS).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(side, "doc_id").select("toxic", "text")
+    counts = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return ToxicityModel()
-    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    share = F.when(F.col("toxic"), min(1.0, MAX_TOXIC / counts[True])).otherwise(min(1.0, MAX_ORDINARY / counts[False]))
-    chosen = known.where(unit < share).limit(2 * (MAX_TOXIC + MAX_ORDINARY))
-    held = docs.where(F.length("text") <= MAX_CHARS).select("doc_id", "text")
-    sample = held.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).toPandas()
-    sample = sample.drop_duplicates().sort_values(["doc_id", "text"])
-    if not len(sample):
-        return ToxicityModel()
-    return train(sample["text"].tolist(), sample["toxic"].tolist(), counts[True] / sum(counts.values()))
+    sample = bounded_sample(held, "toxic", "text", {1: (MAX_TOXIC, counts[1]), 0: (MAX_ORDINARY, counts[0])}, MAX_BYTES).toPandas().sort_values(["toxic", "h"])
+    return train(sample["text"].tolist(), sample["toxic"].tolist(), counts[1] / sum(counts.values()))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-
-    def rate(frames):
-        model = shared.value
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [score(t, model) for t in frame["text"]]})
-
-    out = bounded_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(rate, "doc_id long, score double")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    out = computed(source, ["doc_id"], ["text"], lambda texts: [(score(t, shared.value),) for t in texts], {"score": "double"})
     return out.select("doc_id", held_out_column().alias("held_out"), "score", (F.col("score") >= DECISION).cast("int").alias("predicted"))
