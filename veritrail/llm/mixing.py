@@ -5,8 +5,8 @@ of copies inverts the Poisson distribution of that mean at a hash of its id and
 in every run and in every place; documents are exploded by it and shuffled globally by another hash.
 
 Large means are the sum of draws with means of at most ``STEP``, so the inversion stays exact.
-Defined results: a null source is a source named by the empty text; null ids hash as the empty text; repeated
-rows get equal copies; sources that have no weight do not appear; empty tables give empty results.
+Defined results: a null source is a source named by the empty text; null ids hash as the empty text; texts of any
+length count by their bytes and are carried whole; repeated rows get equal copies; sources that have no weight do not appear; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -4,12 +4,13 @@ A directory is indexed by the leading bits of a 60-bit hash of the key.  Startin
 those above the byte limit split on their next bit.  The bytes under every prefix of a bounded resolution
 come from one aggregation; prefixes that are still too large are refined further, up to all bits.
 
-Rows that hash alike cannot be parted by bits: their bucket gets overflow pages, filled in order (offsets
-are prefix sums over partitions, so no task sees the whole bucket).  A single row above the limit has a
-shard of its own.
+Rows that hash alike cannot be parted by bits: their bucket gets overflow pages.  Rows of more than half the
+limit have a page each; the others fill pages in order (offsets are prefix sums over partitions, so no task sees
+the whole bucket), which are half full at least.  A single row above the limit has a shard of its own.
 
-Defined results: null keys hash as the empty text, null texts have no bytes; repeated rows go to the same
-shard, or to its pages; an empty table gives an empty result; other columns are not read.
+Defined results: null keys hash as the empty text, null texts have no bytes; very long texts count whole; repeated
+rows go to the same shard, or to its pages; an empty table gives an empty result; other columns are not read, and
+key columns may have any names.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def _nodes(rows: DataFrame, low: int, high: int) -> DataFrame:
 def assign_shards(df: DataFrame, keys: list[str], size: Column, limit: int = LIMIT) -> DataFrame:
     """The key columns with n_bytes, shard_id (bits of the prefix, "#page" behind for overflow), depth,
     shard_bytes, shard_rows."""
-    rows = materialise(df.select(*keys, size.cast("long").alias("n_bytes"), key_hash(*(F.col(k) for k in keys)).alias("h")), "shard-rows")
+    rows = materialise(df.select(F.struct(*keys).alias("__key"), size.cast("long").alias("n_bytes"), key_hash(*(F.col(k) for k in keys)).alias("h")), "shard-rows")
     total = rows.agg(F.sum("n_bytes").alias("b")).first()["b"] or 0
     low, high = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE)
     waiting, leaves, pages = rows, None, None
@@ -69,32 +70,37 @@ def assign_shards(df: DataFrame, keys: list[str], size: Column, limit: int = LIM
             break
         low, high = high + 1, min(BITS, high + 2 * SPARE)
     directory = materialise(leaves, "shard-directory")
-    return _place(rows, directory, pages, keys, limit)
+    placed = _place(rows, directory, pages, limit)
+    return placed.select(*(F.col(f"__key.`{k}`").alias(k) for k in keys), *placed.columns[1:])
 
 
-def _place(rows: DataFrame, directory: DataFrame, pages: DataFrame | None, keys: list[str], limit: int) -> DataFrame:
+def _place(rows: DataFrame, directory: DataFrame, pages: DataFrame | None, limit: int) -> DataFrame:
     """Look up each row's shard: one equality join per depth that has leaves, on the bits of that depth."""
     depths = [r["depth"] for r in directory.select("depth").distinct().orderBy("depth").collect()]
     small = fits_broadcast(directory, 32, BROADCAST_BYTES)
     # a row matches at exactly one depth: try all of them as one exploded key
     tries = F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("prefix")) for d in depths)) if depths else None
-    kept = [*keys, "n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows"]
+    kept = ["__key", "n_bytes", "shard_id", "depth", "shard_bytes", "shard_rows"]
     bits = F.expr(f"substring(lpad(bin(h), {BITS}, '0'), 1, depth)")
     if tries is None:
-        found = rows.select(*keys, "n_bytes", F.lit("").alias("shard_id"), F.lit(0).alias("depth"), F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows")).where("false")
+        found = rows.select("__key", "n_bytes", F.lit("").alias("shard_id"), F.lit(0).alias("depth"), F.col("n_bytes").alias("shard_bytes"), F.lit(1).cast("long").alias("shard_rows")).where("false")
     else:
-        wide = rows.select(*keys, "n_bytes", "h", F.explode(tries).alias("t")).select(*keys, "n_bytes", "h", "t.depth", "t.prefix")
+        wide = rows.select("__key", "n_bytes", "h", F.explode(tries).alias("t")).select("__key", "n_bytes", "h", "t.depth", "t.prefix")
         found = wide.join(F.broadcast(directory) if small else directory, ["depth", "prefix"]).withColumn("shard_id", bits).select(*kept)
     if pages is None:
         return found
-    part = materialise(pages.select(*keys, "n_bytes", "h", F.spark_partition_id().alias("part")), "shard-overflow")
+    every = materialise(pages.select("__key", "n_bytes", "h", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("rid")), "shard-overflow")
+    alone = F.col("n_bytes") > limit / 2
+    part = every.where(~alone)
     sums = part.groupBy("h", "part").agg(F.sum("n_bytes").alias("b"), F.max("n_bytes").alias("m"))
     by_hash = W.partitionBy("h")
     sums = sums.select("h", "part", (F.sum("b").over(by_hash.orderBy("part")) - F.col("b")).alias("before"), F.max("m").over(by_hash).alias("most"))
-    local = F.sum("n_bytes").over(W.partitionBy("h", "part").orderBy("n_bytes", *keys).rowsBetween(W.unboundedPreceding, -1))
+    local = F.sum("n_bytes").over(W.partitionBy("h", "part").orderBy("n_bytes", "rid").rowsBetween(W.unboundedPreceding, -1))
     placed = part.withColumn("ahead", F.coalesce(local, F.lit(0))).join(sums, ["h", "part"])
     page = F.floor((F.col("before") + F.col("ahead")) / F.greatest(F.lit(1), F.lit(limit) - F.col("most")))
-    placed = placed.withColumn("shard_id", F.concat(F.expr(f"lpad(bin(h), {BITS}, '0')"), F.lit("#"), page.cast("string"))).withColumn("depth", F.lit(BITS))
+    pooled = placed.select("__key", "n_bytes", "h", F.concat(F.lit("#"), page.cast("string")).alias("page"))
+    own = every.where(alone).select("__key", "n_bytes", "h", F.concat(F.lit("##"), F.col("rid").cast("string")).alias("page"))
+    placed = pooled.unionByName(own).withColumn("shard_id", F.concat(F.expr(f"lpad(bin(h), {BITS}, '0')"), "page")).withColumn("depth", F.lit(BITS))
     sized = placed.groupBy("shard_id").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
     return found.unionByName(placed.join(sized, "shard_id").select(*kept))
 
