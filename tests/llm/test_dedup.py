@@ -1,9 +1,14 @@
+import math
 import random
+from collections import Counter
 
-import corpus_pipeline
 import numpy as np
+import pandas as pd
+import pytest
 from conftest_words import sentence
+from pyspark.sql import functions as F
 from veritrail.llm import components, embeddings, lines, simhash, simhash_forest
+from veritrail.llm.common import numbered
 
 
 def brute_components(n, link):
@@ -34,81 +39,95 @@ def naive_fingerprint(text, words=3):
 
 
 def test_fingerprints_and_components(spark, messy, empty):
-    rows = messy.select("doc_id", "text").where("doc_id is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    got = {r.doc_id: r for r in simhash.simhash_components(messy).where("doc_id is not null").collect()}
-    prints = [naive_fingerprint(r.text or "") for r in rows]
-    assert [got[r.doc_id].fp % (1 << 64) for r in rows] == prints
+    big = 1 << 60
+    near = [(big + 1, "one two three four"), (None, "one two three four"), (-5, "one two three four"), (big + 3, None), (8, "odd text here"), (8, "another text there")]
+    both = messy.select("doc_id", "text", "fp").unionByName(spark.createDataFrame([(*r, 1) for r in near], "doc_id long, text string, fp int"))
+    rows = simhash.simhash_components(both).collect()
+    texts = sorted((naive_fingerprint(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in both.select("doc_id", "text").collect())
+    assert sorted((r.fp % (1 << 64), r.doc_id is None, r.doc_id or 0) for r in rows) == texts
+    prints = [r.fp % (1 << 64) for r in rows]
     label = brute_components(len(rows), lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 2)
-    assert [got[r.doc_id].component_id for r in rows] == [rows[k].doc_id for k in label]
-    assert simhash.simhash_components(messy).count() == messy.count() and simhash.simhash_components(empty).count() == 0
+    least = {k: min((r.doc_id for r, x in zip(rows, label) if x == k and r.doc_id is not None), default=None) for k in set(label)}
+    assert [r.component_id for r in rows] == [least[k] for k in label] and -5 in least.values()
+    assert simhash.simhash_components(empty).count() == 0
 
 
-def test_vantage_tree_finds_every_pair(spark):
+def test_links_go_through_rows_without_an_id(spark, monkeypatch):
+    prints = {"a": 0, "b": 3, "c": 15}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs.replace({k: str(v) for k, v in prints.items()}, subset=["text"]).select("doc_id", F.col("text").cast("long").alias("fp")))
+    df = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id long, text string")
+    assert {r.component_id for r in simhash.simhash_components(df).collect()} == {1}
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_vantage_tree_finds_every_pair(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(simhash, "RESIDENTS", 100)
+        monkeypatch.setattr(simhash, "GUESTS", 300)
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
     near = base[:1500] ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64))
-    fps = np.unique(np.concatenate([base, near]))
-    reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.astype(np.int64))], "fp long, rep long")
+    fps = np.unique(np.concatenate([base, near]).view(np.int64))
+    reps = spark.createDataFrame([(int(f),) for f in fps], "fp long")
     got = {r.node: r.component for r in components.connected_components(simhash.near_edges(reps, 2)).collect()}
-    label = np.arange(len(fps))
+    label, bits = np.arange(len(fps)), fps.view(np.uint64)
     for at in range(0, len(fps), 500):
-        a, b = np.nonzero(np.bitwise_count(fps[at : at + 500, None] ^ fps[None, :]) <= 2)
+        a, b = np.nonzero(np.bitwise_count(bits[at : at + 500, None] ^ bits[None, :]) <= 2)
         label = components.merge_labels(label, a + at, b)
-    assert [got.get(i, i) for i in range(len(fps))] == label.tolist()
+    assert [got.get(int(f), int(f)) for f in fps] == fps[label].tolist()
 
 
-def test_one_of_each_group_stays(spark, messy, empty):
-    kept = simhash.keep_one(messy, simhash_forest.similar_components(messy))
-    assert kept.columns == messy.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 0 in ids and 1 in ids and 106 not in ids
-    assert simhash.keep_one(empty, simhash_forest.similar_components(empty)).count() == 0
+def shingles(text, words=5):
+    found = (text or "").lower().split()
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
 
 
-def shingles(text, words=5):
-    found = text.lower().split()
-    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))}
+def similar(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
 
 
-def test_forest_finds_similar_texts_and_leaves_others(spark):
-    rng = random.Random(9)
-    texts = [sentence(rng, 240) for _ in range(60)]
-    for k in range(40):  # one word in 80 replaced: about 0.88; in 20: about 0.6 or less
+def near_texts(rng):
+    texts = [sentence(rng, rng.choice([3, 6, 12, 40, 240])) for _ in range(60)]
+    for k in range(60):  # words replaced, here and there or often
         words = texts[k].split()
-        for at in range(7, len(words), 80 if k < 25 else 20):
+        for at in range(rng.randrange(20), len(words), rng.choice([20, 40, 80, 160])):
             words[at] = f"x{k}y{at}"
         texts.append(" ".join(words))
+    base = sentence(rng, 150).split()
+    for k in range(60):  # a large family
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice([1, 2, 4, 8])):
+            words[at] = f"z{k}"
+        texts.append(" ".join(words))
     shared = sentence(rng, 120)  # a passage that is half of each
-    texts += [shared + " " + sentence(rng, 120) for _ in range(20)]
-    got = dict(simhash_forest.similar_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    return texts + [shared + " " + sentence(rng, 120) for _ in range(20)] + ["", None, " "]
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_forest_groups_are_those_of_all_pairs(spark, monkeypatch, split):
+    if split:
+        monkeypatch.setattr(simhash_forest, "SHARD", 6)
+        monkeypatch.setattr(simhash_forest, "CHUNK", 16)
+        monkeypatch.setattr(simhash_forest, "CLASSES", 9)
+    texts = near_texts(random.Random(9))
+    rows = numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3), "test-rows")
+    got = simhash_forest.similar_components(rows).join(rows.select("rid", "row.doc_id"), "rid").collect()
+    found = {r.doc_id: r.component for r in got}
     sets = [shingles(t) for t in texts]
-    for i in range(len(texts)):
-        for j in range(i):
-            alike = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
-            if alike >= 0.85:
-                assert got[i] == got[j]
-            if alike < 0.5:
-                assert got[i] != got[j]
-
-
-def test_forest_splits_hot_trees(spark, monkeypatch):
-    monkeypatch.setattr(simhash_forest, "SHARD", 16)
-    monkeypatch.setattr(simhash_forest, "CHUNK", 50)
-    rng = np.random.default_rng(5)
-    base = rng.integers(-(1 << 62), 1 << 62, (40, 4))
-    rows = []
-    for i in range(400):  # chains that drift away from their start by 24 bits a step
-        p = base[i % 40].copy() if i < 40 else rows[i - 40][1].copy()
-        for b in rng.choice(256, 24 if i % 40 < 20 else 80, replace=False):
-            p[b // 64] ^= np.int64(1 << (b % 64) if b % 64 < 63 else -(1 << 63))
-        rows.append((i, p))
-    keys = [[7, 100 + i % 3, 1000 + i] for i in range(400)]
-    reps = spark.createDataFrame([(i, *map(int, p), k) for (i, p), k in zip(rows, keys, strict=True)], "rep long, f0 long, f1 long, f2 long, f3 long, bands array<long>")
-    got = {r.node: r.component for r in components.connected_components(simhash_forest.forest_edges(reps)).collect()}
-    parts = np.array([p for _, p in rows]).view(np.uint64)
-    a, b = np.nonzero(np.bitwise_count(parts[:, None] ^ parts[None, :]).sum(axis=2, dtype=int) <= simhash_forest.RADIUS)
-    label = components.merge_labels(np.arange(400), a, b)
-    assert [got.get(i, i) for i in range(400)] == label.tolist() and 20 < len(set(label.tolist())) < 400
+    label = brute_components(len(texts), lambda i, j: similar(sets[i], sets[j]))
+    assert len({(found[i], label[i]) for i in range(len(texts))}) == len(set(label)) == len(set(found.values())) < len(texts)
+
+
+def test_one_of_each_group_stays(spark, messy, empty):
+    kept = simhash_forest.keep_one(messy)
+    assert kept.columns == messy.columns
+    ids = [r.doc_id for r in kept.select("doc_id").collect() if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and 0 in ids and 1 in ids and 106 not in ids
+    assert simhash_forest.keep_one(empty).count() == 0
+    a, b = "a text of some words that stays", "quite another one with the same id"
+    rows = [(5, a, 1), (5, b, 2), (None, a, 3), (-(1 << 60) - 1, b, 4), (None, "no id at all but kept", 5)]
+    got = simhash_forest.keep_one(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect()
+    assert sorted(r.row for r in got) == [1, 4, 5]
 
 
 def test_components_of_chains_and_stars(spark):
@@ -131,38 +150,72 @@ def within_one(a, b):
     return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
 
 
-def test_lines_against_all_pairs(spark):
-    rng = random.Random(3)
-    pool = [sentence(rng, rng.randint(4, 12)) for _ in range(40)] + ["short", "", "aaaaaaaaaaaaaaaaaaaaaaaa"]
-    pool += [edit(rng, p) for p in pool[:25] for _ in range(2)] + ["aaaaaaaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaaaaaaaaaaaaab"]
-    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(80)] + [(80, None), (81, "")]
-    places = [(i, k, x) for i, t in docs if t is not None for k, x in enumerate(t.split("\n"))]
-    first = {}
-    for i, k, x in places:
-        if len(x) >= lines.MIN_CHARS:
-            first.setdefault(x, (i, k))
-    lost = {x for x in first if any(first[y] < first[x] and within_one(x, y) for y in first)}
-    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if len(x) < lines.MIN_CHARS or (first[x] == (i, k) and x not in lost)) for i, t in docs}
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == want and lost
+def line_pool(rng):
+    pool = [sentence(rng, rng.randint(4, 12)) for _ in range(40)] + ["", "Les.", "Lez.", " ", "a" * 19, "a" * 20, "a" * 24, "b" * 18 + "x"]
+    pool += [edit(rng, p) for p in pool[:25] for _ in range(2)] + ["a" * 25, "a" * 23 + "b"]
+    long = sentence(rng, 300)  # several blocks
+    return pool + [long, long[:400] + "#" + long[401:], long[:64] + long[65:], long[:-1], long + "é", long[:700] + "##" + long[702:]]
 
 
-def test_short_lines_against_all_pairs(spark):
-    rng = random.Random(8)
-    pool = [sentence(rng, rng.randint(4, 12)) for _ in range(20)] + ["", "Les.", "Lez.", " ", "a" * 19, "a" * 20, "a" * 21, "b" * 18 + "x"]
-    pool += [edit(rng, p) for p in pool[:10]]
-    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(60)] + [(60, None), (61, ""), (62, "Les."), (63, "Les.\nLes.")]
+@pytest.mark.parametrize("seed", [3, 8])
+def test_lines_against_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    pool = line_pool(rng)
+    ids = [*range(60), None, None, 3, 3, -7, (1 << 60) + 1]
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in ids] + [(80, None), (81, ""), (82, "Les."), (83, "Les.\nLes.")]
+    docs += [docs[4], docs[60]]  # whole rows again
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    rows = df.withColumn("rid", F.monotonically_increasing_id()).collect()
     first = {}
-    for i, t in docs:
-        for k, x in enumerate((t or "").split("\n")):
+    for r in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.rid)):
+        for k, x in enumerate((r.text or "").split("\n")):
             if x:
-                first.setdefault(x, (i, k))
-    long = {x for x in first if len(x) >= lines.MIN_CHARS}
+                first.setdefault(x, (r.doc_id is not None, r.doc_id or 0, r.rid, k))
+    long = {x for x in first if len(x) >= lines.EDIT_CHARS}
     lost = {x for x in long if any(first[y] < first[x] and within_one(x, y) for y in long)}
-    want = {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x or (first[x] == (i, k) and x not in lost)) for i, t in docs}
-    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, df, "").collect()}
-    assert got == want and lost and got[62] == got[63] == ""
+    stays = lambda r, k, x: not x or (first[x][2:] == (r.rid, k) and x not in lost)
+    want = Counter((r.doc_id, None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if stays(r, k, x))) for r in rows)
+    assert Counter((r.doc_id, r.text) for r in lines.dedup_lines(df).collect()) == want and lost
+
+
+def test_sql_of_lines_covers_null_and_repeated_ids(spark):
+    import duckdb
+
+    rng = random.Random(5)
+    pool = line_pool(rng)
+    docs = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 6)))) for i in [*range(20), None, None, 3, 3, -7]] + [(90, None), (None, "")]
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64", "text": object})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = Counter(con.sql(lines.ORACLE.replace("string_split(text", "string_split(text::VARCHAR")).fetchall())
+    got = lines.line_digest(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).collect()
+    assert Counter(tuple(r) for r in got) == want
+
+
+def test_unique_lines_of_a_repeated_id_stay(spark):
+    line = "the quick brown fox jumps over it"
+    df = spark.createDataFrame([(1, line), (5, line.replace("fox", "fax")), (5, "a unique line that nothing is near")], "doc_id long, text string")
+    assert sorted(r.text for r in lines.dedup_lines(df).collect()) == ["", "a unique line that nothing is near", line]
+
+
+def test_very_long_lines(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(120_000))
+    df = spark.createDataFrame([(1, long), (2, long[:70_000] + "#" + long[70_001:]), (3, long[:60_000] + "##" + long[60_002:])], "doc_id long, text string")
+    assert {r.doc_id: len(r.text) for r in lines.dedup_lines(df).collect()} == {1: 120_000, 2: 0, 3: 120_000}
+
+
+def test_edits_are_told(spark):
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(1500):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 7)))
+        b = a
+        for _ in range(rng.randint(0, 2)):
+            b = edit(rng, b) if b else "é"
+        pairs.append((a, b))
+    got = spark.createDataFrame(pairs, "x string, y string").select("x", "y", lines._within_one(F.col("x"), F.col("y")).alias("near")).collect()
+    assert all(r.near == within_one(r.x, r.y) for r in got)
 
 
 def test_lines_of_messy_tables(messy, empty):
@@ -179,25 +232,46 @@ def vectors():
     return np.concatenate([base, near, hot])
 
 
-def test_embeddings_against_brute_force(spark):
-    x = vectors()
-    rows = [(i, [float(v) for v in r], 1 if i % 7 else 2) for i, r in enumerate(x)]
-    odd = [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [None] * 24, 1), (5004, [1.0, 2.0], 1), (5005, rows[3][1], None), (None, rows[3][1], 1)]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
-    assert len(got) == len(rows) + len(odd) and all(got[k].n_links == 0 and got[k].component_id == k and got[k].kept for k in range(5000, 5006))
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    label = np.array([r[2] for r in rows])
-    link = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+def linked(rows, dim):
+    """vec_id, n_links, component_id, kept by comparing all rows."""
+    usable = [k for k, (_, v, label) in enumerate(rows) if v is not None and label is not None and len(v) == dim and None not in v and np.isfinite(v).all() and any(v)]
+    x = np.array([rows[k][1] for k in usable])
+    x /= np.abs(x).max(axis=1)[:, None]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([rows[k][2] for k in usable])
+    link = (x @ x.T >= embeddings.THRESHOLD) & (label[:, None] == label[None, :])
     np.fill_diagonal(link, False)
-    link_n = link.sum(axis=1)
-    found = np.array([got[i].n_links for i in range(len(rows))])
-    found[3] -= 1  # the row without an id is its exact copy
-    ours = found.sum() / link_n.sum()
-    assert ours >= 0.97 and (found <= link_n + 1).all()
-    a, b = np.nonzero(link)
-    parts = components.merge_labels(np.arange(len(rows)), a, b)
-    assert np.mean([got[i].component_id == parts[i] for i in range(len(rows))]) > 0.99
+    part = components.merge_labels(np.arange(len(usable)), *np.nonzero(link))
+    named = {p: min((rows[k][0] for k, q in zip(usable, part) if q == p and rows[k][0] is not None), default=None) for p in set(part.tolist())}
+    place = {k: n for n, k in enumerate(usable)}
+    found = [(i, int(link[place[k]].sum()), named[part[place[k]]]) if k in place else (i, 0, i) for k, (i, _, _) in enumerate(rows)]
+    return Counter((i, n, c, i == c) for i, n, c in found)
+
+
+@pytest.mark.parametrize("chunk", [embeddings.CHUNK, 200])
+def test_embeddings_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(embeddings, "CHUNK", chunk)
+    x, big = vectors(), 1 << 60
+    rows = [(i, [float(v) for v in r], 1 if i % 7 else 2) for i, r in enumerate([*x, *x[5:6].repeat(50, 0)])]
+    rows += [(5000, None, 1), (5001, [0.0] * 24, 1), (5002, [float("nan")] * 24, 1), (5003, [None] * 24, 1), (5004, [1.0, 2.0], 1), (5005, rows[3][1], None)]
+    rows += [(None, rows[3][1], 1), (big + 1, rows[10][1], 1), (big + 3, rows[10][1], 1), (-5, rows[20][1], 1), (-4, rows[20][1], 1), (None, rows[21][1], 2)]
+    rows += [(7, rows[100][1], 1), (None, None, None), (None, [2.0] * 24, 9), (None, [2.5] * 24, 9)]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<double>, label int, cid int").repartition(3)
+    assert Counter(tuple(r) for r in embeddings.near_duplicates(df).collect()) == linked(rows, 24)
+
+
+def test_null_ids_join_components(spark):
+    v = [1.0, 2.0, 3.0]
+    got = embeddings.near_duplicates(spark.createDataFrame([(1, v, 1), (2, v, 1), (None, v, 1)], "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 2, 1, True), (2, 2, 1, False), (None, 2, 1, False)}
+
+
+def test_rows_at_the_threshold_link(spark):
+    c = embeddings.THRESHOLD
+    near, far = (math.sqrt(1 - x * x) for x in (c + 1e-12, c - 1e-12))
+    rows = [(1, [1.0, 0.0, 0.0], 1), (2, [c + 1e-12, near, 0.0], 1), (3, [c - 1e-12, 0.0, far], 1)]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 1, 3: 0}
 
 
 def test_embeddings_meet_at_every_size():

@@ -64,6 +64,28 @@ def test_query_columns(messy, empty):
     assert gif.read_payloads(gif.encode_payloads(empty)).count() == 0
 
 
+def test_broken_media_end_as_such(spark):
+    rng = random.Random(7)
+    whole = picture([(1, None, False, True, (0, 0, 4, 4), bytes(range(16)))] * 2)
+    broken = []
+    for _ in range(600):
+        bad = bytearray(whole)
+        for _ in range(rng.randint(1, 4)):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        broken.append(bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])]))
+    for b in broken:
+        try:
+            list(gif.decode(b, 1 << 16))
+        except ValueError:
+            pass
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x3b"
+    with pytest.raises(ValueError):
+        list(gif.decode(huge))
+    media = [((1 << 60) + 1, whole), (None, whole), (3, huge), (4, whole[:50])]
+    rows = gif.gif_frames(spark.createDataFrame(media, "k long, m binary"), "k", "m").select("k", "frame").collect()
+    assert sorted((r.k or 0, r.frame) for r in rows) == [(0, 0), (0, 1), ((1 << 60) + 1, 0), ((1 << 60) + 1, 1)]
+
+
 def test_frames_of_a_column(spark):
     media = [(1, picture([(1, None, False, False, (0, 0, 4, 4), bytes(16))] * 3)), (2, b"no picture"), (3, None)]
     rows = gif.gif_frames(spark.createDataFrame(media, "k long, m binary"), "k", "m").orderBy("frame").collect()

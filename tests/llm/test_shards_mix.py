@@ -43,6 +43,13 @@ def test_equal_keys_overflow_into_pages(spark):
     assert len(rows) == 501 and 50 <= len(held) <= 60
 
 
+def test_rows_above_the_limit_do_not_thin_out_pages(spark):
+    df = spark.createDataFrame([(1, "x")] * 50 + [(1, "y" * 5_000)] + [(1, "z" * 600)] * 4, "h long, text string").repartition(3)
+    rows = sharding.assign_shards(df, ["h"], size(), 1_000).collect()
+    held = check_shards(rows, 1_000)
+    assert len(rows) == 55 and len(held) == 6 and {r.h for r in rows} == {1}
+
+
 def test_copies_follow_the_inverted_distribution(messy, empty):
     got = mixing.mix(messy, ["doc_id", "source", "copy"]).collect()
     sizes = {r["source"]: r["bytes"] for r in mixing.source_sizes(messy).collect()}

@@ -41,17 +41,16 @@ from .common import bounded_sample, computed, fits_broadcast, materialise, text_
 from .langid import held_out_column
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS, MAX_BYTES = 2_500, 5_000, 100_000, 20_000_000
-DECISION = 0.3
+DECISION, BETA = 0.3, 1.25
 WINDOW = 8
-#: Bytes of the ordinary and of a toxic dictionary, at most, and the (k, d) that zstandard's trainer takes.
-ORDINARY, TOXIC = 2_500_000, 4_096
-SEGMENTS = (32, 8)
-#: Share of the toxic windows that the first dictionary is trained on (``LEAST`` windows at least), and the toxic
-#: dictionaries' (k, d).
-STARTS = ((0.01, (10, 8)), (0.02, (12, 8)), (0.01, (12, 8)), (0.02, (10, 8)))
+#: Bytes of the ordinary dictionary, at most, and the (k, d) that zstandard's trainer takes for it and for toxic ones.
+ORDINARY, ORDINARY_SEGMENTS, TOXIC_SEGMENTS = 2_500_000, (32, 8), (12, 8)
+#: Share of ordinary windows that are as strange as the toxic windows which the first dictionary is trained on
+#: (``LEAST`` windows at least), and bytes of the toxic dictionaries.
+STARTS = ((0.01, 4_096), (0.01, 3_072), (0.02, 4_096), (0.01, 2_048))
 #: Turns of the halves, share of ordinary windows that may pass a turn's threshold, ordinary windows that it is
 #: measured on.
-LEAST, TURNS, FALSE, MEASURED = 200, 8, 0.001, 60_000
+LEAST, TURNS, FALSE, MEASURED = 200, 8, 0.004, 60_000
 #: Share of the sample that calibrates, and documents that do, at most.
 CALIBRATION, MAX_CALIBRATION = 0.25, 2_000
 #: Bytes saved from which a window counts, for the counting features.
@@ -96,6 +95,12 @@ def trained(samples: list[bytes], size: int, segments: tuple[int, int]) -> bytes
     return b"".join(samples)[-4096:] or b" " * 8
 
 
+def toxic_dictionary(samples: list[bytes], size: int) -> bytes:
+    """The best ``size`` bytes of a dictionary trained on the samples.  The trainer puts what scores best last, and
+    cuts that end off to make room for its header; so it gets room for all, and the end is taken here."""
+    return trained(samples, sum(map(len, samples)) + 2_048, TOXIC_SEGMENTS)[-size:]
+
+
 def windows(text: str) -> list[bytes]:
     words = _WORD.findall(text.lower())
     return [f" {' '.join(words[k : k + WINDOW])} ".encode("utf-8", "surrogatepass") for k in range(0, len(words), WINDOW)]
@@ -131,30 +136,31 @@ def _dictionaries(toxic: list[str], ordinary: list[str]) -> Iterator[ToxicityMod
     """A pair of dictionaries, without weights, for every start."""
     rng = np.random.default_rng(5)
     usual = [w for t in ordinary for w in windows(t)]
-    plain = trained(usual, ORDINARY, SEGMENTS)
+    plain = trained(usual, ORDINARY, ORDINARY_SEGMENTS)
     measured = [usual[k] for k in rng.permutation(len(usual))[:MEASURED]]
     halves = [[w for t in toxic[k::2] for w in windows(t)] for k in (0, 1)]
     fine = compressor(plain, fine=True)
     size = lambda found: np.fromiter(map(len, found), np.float64, len(found))
     slope, base = np.polyfit(size(measured), _lengths(fine, measured), 1) if len(set(map(len, measured))) > 1 else (0.0, 0.0)
-    strange = [np.argsort(size(h) * slope + base - _lengths(fine, h), kind="stable") for h in halves]
+    strangeness = [_lengths(fine, h) - size(h) * slope - base for h in (measured, *halves)]
     compress = compressor(plain)
     usual_length, length = _lengths(compress, measured), [_lengths(compress, h) for h in halves]
-    for first, segments in STARTS:
-        picked = [s[: max(LEAST, int(first * len(s)))] for s in strange]
+    for first, room in STARTS:
+        bar = np.quantile(strangeness[0], 1 - first) if len(measured) else 0.0
+        picked = [np.argsort(-s, kind="stable")[: max(LEAST, int((s > bar).sum()))] for s in strangeness[1:]]
         for turn in range(TURNS):
             own, other = turn % 2, 1 - turn % 2
-            compress = compressor(plain + trained([halves[own][k] for k in picked[own]], TOXIC, segments))
+            compress = compressor(plain + toxic_dictionary([halves[own][k] for k in picked[own]], room))
             bar = max(2.0, float(np.quantile(usual_length - _lengths(compress, measured), 1 - FALSE))) if len(measured) else 2.0
             hit = np.flatnonzero(length[other] - _lengths(compress, halves[other]) >= bar)
-            if len(hit):
+            if 4 * len(hit) >= LEAST:
                 picked[other] = hit
-        yield ToxicityModel(plain, tuple(trained([h[k] for k in p], TOXIC, segments) for h, p in zip(halves, picked, strict=True) if len(h)))
+        yield ToxicityModel(plain, tuple(toxic_dictionary([h[k] for k in p], room) for h, p in zip(halves, picked, strict=True) if len(h)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
     """Ridge-penalised logistic fit (Newton steps) in raw units, its intercept moved to the prior and then
-    so that the threshold of the best F1 lies at DECISION."""
+    so that the threshold of the best F measure (recall counts ``BETA`` times) lies at DECISION."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
     penalty = np.array([1e-1] * x.shape[1] + [1e-6])
@@ -168,8 +174,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, ...]:
     order = np.argsort(-logit, kind="stable")
     hits = np.cumsum((weight * y)[order])
     false = np.cumsum((weight * (1 - y))[order])
-    f1 = 2 * hits / (hits + false + (weight * y).sum())
-    best = int(np.argmax(f1))
+    f = hits / (hits + false + BETA**2 * (weight * y).sum())
+    best = int(np.argmax(f))
     low = logit[order][min(best + 1, len(order) - 1)]
     cut = (logit[order][best] + low) / 2
     raw = w[:-1] / scale
