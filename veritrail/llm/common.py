@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SETTING = "spark.checkpoint.dir"
+_SETTING, _RECORDS = "spark.checkpoint.dir", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows at a time that workers take of tables of texts while they are written.
+TEXTS = 1_000
 #: A key is hot when it holds more rows than this and more than one of 10,000 rows; so there are 10,000 hot
 #: keys at most, whatever the size of a table.
 HOT_ROWS, HOT_SHARE = 2_000, 10_000
@@ -50,13 +53,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def batches(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """While a table is written, Python workers get so many rows at a time (a setting that the user has changed
+    from Spark's default is left alone); what was set before is set again."""
+    if rows is None or spark.conf.get(_RECORDS) != "10000":
+        yield
+        return
+    spark.conf.set(_RECORDS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_RECORDS, "10000")
+
+
+def materialise(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write once to the shared folder and read back: later reads survive lost executors.
 
-    Unlike an eager checkpoint, the plan runs a single time.
+    Unlike an eager checkpoint, the plan runs a single time.  ``batch``: rows that Python workers take at a time,
+    for plans that hand texts to them.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with batches(df.sparkSession, batch):
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -125,9 +144,9 @@ def hot_keys(rows: DataFrame, key: str, total: int | None = None) -> DataFrame |
     total = rows.count() if total is None else total
     if total <= HOT_ROWS:
         return None
-    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE))
-    hot = materialise(hot.select("__hot"), "hot-keys")
-    return None if hot.isEmpty() else hot
+    hot = rows.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("n")).where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).select("__hot")
+    found = hot.collect()  # HOT_SHARE rows at most: each holds more than one of HOT_SHARE parts of the table
+    return rows.sparkSession.createDataFrame(found, hot.schema) if found else None
 
 
 def join_hot(rows: DataFrame, side: DataFrame, key: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:

@@ -21,14 +21,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Returns node, component (the smallest node of its component) for every node that has an edge to
     another one.
     """
-    one = materialise(edges.select("src", "dst").where("src <> dst").distinct(), "cc-input")
-    pairs = materialise(one.unionAll(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), "cc-edges")
-    discard(one)
+    either = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = materialise(edges.where("src <> dst").select(F.explode(either).alias("e")).select("e.src", "e.dst").distinct(), "cc-edges")
     maps: list[DataFrame] = []
     while total := pairs.count():
         # a node that many are mapped to is next to all of them, so the hot nodes are hot in every join below
         hot = hot_keys(pairs, "src", total)
-        near = materialise(pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("m")), "cc-near")
+        near = pairs.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("m"))
         jump = near.select(F.col("node").alias("m"), F.col("m").alias("m2"))
         step = materialise(join_hot(near, jump, "m", hot).select("node", F.col("m2").alias("m")), "cc-step")
         maps.append(step)
@@ -36,7 +35,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         b = step.select(F.col("node").alias("dst"), F.col("m").alias("b"))
         rewired = join_hot(join_hot(pairs, a, "src", hot), b, "dst", hot).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         after = materialise(rewired.distinct(), "cc-edges")
-        discard(pairs, near)
+        discard(pairs)
         pairs = after
     if not maps:
         return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).where("false")

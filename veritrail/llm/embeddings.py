@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, deal, discard, fits_broadcast, hot_keys, join_hot, materialise
+from .common import TEXTS, bounded_sample, deal, discard, fits_broadcast, hot_keys, join_hot, materialise
 from .components import connected_components, merge_labels
 
 THRESHOLD = 0.93
@@ -209,7 +209,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     coded = rows.mapInArrow(encode, "vec_id long, label long, dim int, vec binary, codes binary")
     digest = F.md5(F.concat("vec", F.encode(F.concat_ws(":", F.col("label").cast("string"), F.col("dim").cast("string")), "utf-8")))
-    coded = materialise(coded.withColumn("digest", digest), "itq-codes")
+    coded = materialise(coded.withColumn("digest", digest), "itq-codes", TEXTS)
     usable = coded.where("vec is not null")
     classes = usable.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("label", "dim", "vec", "codes")), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "itq-classes")

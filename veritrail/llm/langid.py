@@ -18,11 +18,11 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, computed
+from .common import SLICE, bounded_sample, computed
 
 UNKNOWN = "und"
 #: Bounds on the training sample.
@@ -208,12 +208,12 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     The model learns from the ``lang`` column of the same table.
     """
-    model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("boolean")
-    def accepted(texts: pd.Series) -> pd.Series:
-        model = shared.value
-        return pd.Series([not model.predict(t)[2] for t in texts], dtype=bool)
+    def accepted(batches):
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                yield part.filter(pa.array([not shared.value.predict(t)[2] for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.where(accepted(F.col("text")))
+    return docs.mapInArrow(accepted, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, computed, materialise, text_or_empty
+from .common import SLICE, TEXTS, computed, materialise, text_or_empty
 from .tokens import encoder, vocabulary
 
 CAPACITY = 4096
@@ -157,7 +157,7 @@ def pack_documents(docs: DataFrame, vocabulary_name: str = VOCABULARY, capacity:
         return _pack_partition(batches, vocabulary(vocabulary_name), capacity, end_id)
 
     source = docs.select(F.spark_partition_id().cast("long").alias("grp"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bins = materialise(source.mapInArrow(pack, _BINS), "pack-0")
+    bins = materialise(source.mapInArrow(pack, _BINS), "pack-0", TEXTS)
     done, level = [bins.where("not open")], 0
     groups = bins.agg(F.max("grp").alias("top")).first()["top"]
     groups = 0 if groups is None else groups + 1

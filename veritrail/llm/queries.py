@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import embeddings, gif, langid, lines, mixing, packing, sharding, simhash, token_counts, toxicity
-from .common import read_table
+from .common import TEXTS, materialise, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif.read_payloads(gif.encode_payloads(read_table(spark, sf_dir, "documents")))
+    return materialise(gif.read_payloads(gif.encode_payloads(read_table(spark, sf_dir, "documents"))), "gif-digests", TEXTS)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(read_table(spark, sf_dir, "documents"))
+    return materialise(langid.identify(read_table(spark, sf_dir, "documents")), "languages", TEXTS)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return materialise(toxicity.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")), "toxicity", TEXTS)
 
 
 QUERIES: dict[str, Query] = {

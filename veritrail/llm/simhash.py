@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, discard, hot_keys, join_hot, materialise, text_or_empty
+from .common import TEXTS, computed, discard, hot_keys, join_hot, materialise, text_or_empty
 from .components import connected_components, merge_labels
 
 WORDS, RADIUS, SEED = 3, 2, 42
@@ -186,7 +186,7 @@ def near_edges(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id for every row."""
-    prints = materialise(fingerprints(docs, words), "simhash-fp")
+    prints = materialise(fingerprints(docs, words), "simhash-fp", TEXTS)
     reps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-class")
     joined = connected_components(near_edges(reps.select("fp"), radius)).withColumnRenamed("node", "fp")
     named = materialise(reps.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "simhash-component")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import computed, deal, discard, fits_broadcast, hot_keys, join_hot, materialise, numbered
+from .common import TEXTS, computed, deal, discard, fits_broadcast, hot_keys, join_hot, materialise, numbered
 from .components import connected_components, merge_labels, spanning
 from .simhash import SEED, majority_bits, near_edges, shingle_hashes
 
@@ -245,7 +245,7 @@ def verified_edges(rows: DataFrame, loose: DataFrame, words: int = WORDS) -> Dat
     loose = materialise(loose.select(F.col("node").alias("rid"), "component"), "forest-loose")
     side = F.broadcast(loose) if fits_broadcast(loose, 32, BROADCAST_BYTES) else loose
     texts = rows.select("rid", F.col("row.text").alias("text")).join(side, "rid")
-    sets = materialise(computed(texts, ["rid", "component"], ["text"], lambda found: [(shingle_set(t, words).astype("<u8").tobytes(),) for t in found], {"shingles": "binary"}), "forest-sets")
+    sets = materialise(computed(texts, ["rid", "component"], ["text"], lambda found: [(shingle_set(t, words).astype("<u8").tobytes(),) for t in found], {"shingles": "binary"}), "forest-sets", TEXTS)
     chunks = F.greatest(F.ceil(F.count("*") / CLASSES), F.ceil(F.sum(F.octet_length("shingles")) / SET_BYTES)).cast("int")
     large = materialise(sets.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1"), "forest-large")
     plan = F.broadcast(large) if fits_broadcast(large, 32, BROADCAST_BYTES) else large
@@ -266,7 +266,7 @@ def verified_edges(rows: DataFrame, loose: DataFrame, words: int = WORDS) -> Dat
 
 def similar_components(rows: DataFrame, words: int = WORDS) -> DataFrame:
     """rid, component (a number that the rows of a group share) of numbered rows."""
-    prints = materialise(sketches(rows, words), "forest-sketch")
+    prints = materialise(sketches(rows, words), "forest-sketch", TEXTS)
     first = [F.first(c).alias(c) for c in ("size", *_PRINTS, "bands")]
     classes = materialise(prints.groupBy("digest").agg(F.min("rid").alias("rep"), *first), "forest-classes")
     loose = connected_components(candidate_edges(classes))

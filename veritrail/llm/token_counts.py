@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_hot, materialise, scratch_path, text_or_empty
+from .common import TEXTS, batches, hot_keys, join_hot, materialise, scratch_path, text_or_empty
 from .tokens import encoder, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -84,7 +84,8 @@ def count_tokens(docs: DataFrame, cache_path: str | None = None, vocabulary_name
     misses = bodies.join(cached, "digest", "left_anti").groupBy("digest").agg(F.first("body").alias("body"))
     # counts are small: the results of eight tasks share a file
     counted = misses.select("body", "digest").mapInPandas(encode, _CACHE).withColumn("file", F.expr("spark_partition_id() div 8"))
-    counted.repartition("file").drop("file").write.mode("append").parquet(cache_path)
+    with batches(spark, TEXTS):
+        counted.repartition("file").drop("file").write.mode("append").parquet(cache_path)
     counts = read_cache(spark, cache_path, version)
     twice = counts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
     if not twice.isEmpty():  # another job appended the same texts meanwhile
