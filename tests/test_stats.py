@@ -129,3 +129,14 @@ def test_merged_cells_equal_direct_evaluation(spark, constant):
             w = want[r.half]
             assert (r.n, r.n_rows, r.n_clusters, r.df, r.significant) == (w.n, w.n_rows, w.n_clusters, w.df, w.significant)
             assert math.isclose(r.mean, w.mean, rel_tol=1e-9, abs_tol=1e-12) and (r.t_stat == w.t_stat or constant or math.isclose(r.t_stat, w.t_stat, rel_tol=1e-9))
+
+
+def test_labels_are_matched_once(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (None, 3.0)], "k int, v double")
+    labels = spark.createDataFrame([(2, "b"), (None, "n"), (1, "a"), (9, "z")], "k int, c string")
+    got = stats.with_labels(df, labels, ["k"], "c")
+    assert got.columns == ["k", "v", "c"] and {(r.k, r.c) for r in got.collect()} == {(1, "a"), (2, "b"), (None, "n")}
+    with pytest.raises(ValueError):
+        stats.with_labels(df, labels.where("k = 1"), ["k"], "c")
+    with pytest.raises(ValueError):
+        stats.with_labels(df, labels.union(labels), ["k"], "c")

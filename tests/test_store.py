@@ -65,6 +65,43 @@ def test_failed_write_keeps_old(spark, tmp_path):
     assert store.read().count() == 1 and not glob.glob(f"{at}.tmp*")
 
 
+def test_marks_of_missing_values_are_exact(spark, tmp_path):
+    at = str(tmp_path / "s")
+    data = [("none", 1), ("None", 2), (" NA", 3), ("NA", 4), ("-nan", 5), ("#NA", 6), ("x ", 7)]
+    append_dedup(rows(spark, data, "id string, v int"), at, ["id"])
+    again = append_dedup(rows(spark, [("none", 10)], "id string, v int"), at, ["id"])
+    assert {r.id for r in again.collect()} == {"none", " NA", "x ", None} and {r.id: r.v for r in again.collect()}["none"] == 10
+
+
+@pytest.mark.parametrize("dies_at", [0, 1, 2])
+def test_a_write_that_dies_leaves_old_or_new_rows(spark, tmp_path, monkeypatch, dies_at):
+    at = str(tmp_path / "s")
+    append_dedup(rows(spark, [(1, "a"), (2, "b")], "id int, v string"), at, ["id"])
+
+    class Died(BaseException):
+        pass
+
+    steps = []
+
+    def dying(self, source, target, plain=KeyedStore._rename):
+        if len(steps) == dies_at:
+            raise Died
+        steps.append(target)
+        plain(self, source, target)
+        if dies_at == 2 and len(steps) == 2:
+            raise Died
+
+    with monkeypatch.context() as m:
+        m.setattr(KeyedStore, "_rename", dying)
+        with pytest.raises(Died):
+            append_dedup(rows(spark, [(3, "c")], "id int, v string"), at, ["id"])
+    there = {r.id for r in KeyedStore(spark, at, ["id"]).read().collect()}
+    assert there == ({"1", "2", "3"} if dies_at == 2 else {"1", "2"})
+    done = append_dedup(rows(spark, [(4, "d")], "id int, v string"), at, ["id"])
+    assert {r.id for r in done.collect()} == there | {"4"}
+    assert {r.id for r in KeyedStore(spark, at, ["id"]).read().collect()} == there | {"4"}
+
+
 def test_stream_into_store(spark, tmp_path):
     src = str(tmp_path / "in")
     rows(spark, [(1, "a"), (2, "b")], "id int, v string").write.parquet(src)

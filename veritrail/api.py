@@ -33,7 +33,7 @@ from .operators.multiple import (  # noqa: F401
     holm_correction,
     summarize_correction,
 )
-from .operators.stats import StatResult, StatSpec, evaluate, group_diff, stat_group_diff, stat_vs_zero, vs_zero, with_significance  # noqa: F401
+from .operators.stats import StatResult, StatSpec, evaluate, group_diff, stat_group_diff, stat_vs_zero, vs_zero, with_labels, with_significance  # noqa: F401
 from .operators.timeline import apply_purge_embargo, chronological_split, date_sort_key  # noqa: F401
 from .operators.verdict import classify_overfitting  # noqa: F401
 from .operators.walk_forward import WalkForwardResult, walk_forward, walk_forward_validate  # noqa: F401

@@ -62,8 +62,18 @@ def critical_value(df: float | None, alpha: float = 0.05) -> float:
     return critical_table(alpha)[int(df) - 1] if df <= EXACT else float(_expanded(df, NormalDist().inv_cdf(1 - alpha / 2)))
 
 
+def _bound_once(body, *values: Column) -> Column:
+    """``body`` of the values, which stand in the plan once however often it uses them."""
+    one = F.struct(*(v.cast("double").alias(f"v{k}") for k, v in enumerate(values)))
+    return F.element_at(F.transform(F.array(one), lambda s: body(*(s[f"v{k}"] for k in range(len(values))))), 1)
+
+
 def critical(df: Column, alpha: float = 0.05) -> Column:
     """Critical |t|; infinite where df is null or below 1."""
+    return _bound_once(lambda x: _critical(x, alpha), df)
+
+
+def _critical(df: Column, alpha: float) -> Column:
     table = F.array(*(F.lit(x) for x in critical_table(alpha)))
     z = NormalDist().inv_cdf(1 - alpha / 2)
     wide = F.greatest(df, F.lit(float(EXACT + 1)))
@@ -89,6 +99,10 @@ def _erfc(x: Column) -> Column:
 
 def two_sided_p(t: Column, df: Column) -> Column:
     """P(|T| >= |t|); null where t or df is null; 0 for infinite t."""
+    return _bound_once(_two_sided_p, t, df)
+
+
+def _two_sided_p(t: Column, df: Column) -> Column:
     nu = F.least(F.greatest(df.cast("int"), F.lit(1)), F.lit(EXACT))
     a = F.abs(t)
     theta = F.atan2(a, F.sqrt(nu.cast("double")))

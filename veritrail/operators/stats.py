@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -182,6 +183,23 @@ def _lag_products(data: DataFrame, base: DataFrame, spec: StatSpec, by: list[str
     return rows.withColumn("__t", terms).groupBy(*by).agg(F.sum("__t").alias("__hac"))
 
 
+def with_labels(rows: DataFrame, labels: DataFrame, on: Sequence[str], name: str) -> DataFrame:
+    """``rows`` with the column ``name`` of another frame, matched by the columns ``on`` (null matches null).
+
+    Every row must be matched exactly once: missing or repeated labels raise ValueError (two aggregations).
+    """
+    on = list(on)
+    side = labels.select(*(F.col(c).alias(f"__on{k}") for k, c in enumerate(on)), F.col(name).alias("__label"), F.lit(True).alias("__there"))
+    if not side.groupBy(*(f"__on{k}" for k in range(len(on)))).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError(f"{name} has several labels for one of {on}")
+    match = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"__on{k}")) for k, c in enumerate(on)))
+    joined = rows.drop(name).join(side, match, "left")
+    missing = joined.where("__there is null").count()
+    if missing:
+        raise ValueError(f"{name} has no label for {missing} rows")
+    return joined.select(*(c for c in rows.columns if c != name), F.col("__label").alias(name))
+
+
 def as_struct() -> Column:
     return F.struct(*STAT_FIELDS)
 

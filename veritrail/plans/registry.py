@@ -313,6 +313,79 @@ registered(
 )
 
 
+def _reloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two appends to a CSV store beside the other scratch tables, and what a reload makes of them."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    old, new = _updates(spark, sf_dir)
+    role = F.when(F.col("turn") % 5 == 0, "none").when(F.col("turn") % 5 == 2, " NA").otherwise(F.col("role"))
+    marked = lambda df: df.withColumn("role", role).withColumn("note", F.when(F.col("turn") % 3 == 0, "N/A").otherwise("none"))
+    path = f"{folder.rstrip('/')}/store-{uuid.uuid4().hex}"
+    keys = ["conv_id", "turn", "role"]
+    store.append_dedup(marked(old), path, keys, verbose=False)
+    return store.append_dedup(marked(new), path, keys, verbose=False).select(*keys, "note", F.col("seen").cast("int").alias("seen"))
+
+
+registered(
+    "dedup_csv_round_trip",
+    """WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'none' WHEN turn % 5 = 2 THEN ' NA' END AS mark, role, CASE WHEN turn % 3 <> 0 THEN 'none' END AS note FROM conversations),
+    k AS (SELECT conv_id, turn, coalesce(mark, role) AS role, note, CAST(NULL AS INTEGER) AS seen, 0 AS s FROM c
+      UNION ALL SELECT conv_id, turn, coalesce(mark, 'new-' || role), note, 1, 1 FROM c WHERE turn % 2 = 0)
+    SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, note, seen FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, role ORDER BY s DESC) AS n FROM k) WHERE n = 1""",
+    _reloaded,
+)
+
+
+# ---- values that are missing or not finite, text dates, callers' statistics, aligned labels
+
+def _odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which some values are null, NaN or infinite."""
+    e, v = events(spark, sf_dir), F.col("event_id") % 11
+    return e.withColumn("x", F.when(v == 1, None).when(v == 2, float("nan")).when(v == 3, float("inf")).when(v == 4, float("-inf")).otherwise(F.col("x")))
+
+
+_ODD = f"SELECT * FROM ({_DAYS}) WHERE event_id % 11 NOT IN (1, 2, 3, 4)"
+_ODD_ONE = f"WITH r AS (SELECT *, 1 AS one FROM ({_ODD}))"
+registered("stat_vs_zero_not_finite", f"{_ODD_ONE} {_shown(oracle.plain_stats('one'))}", lambda s, d: _stat(_odd(s, d), stats.vs_zero("x")))
+registered("stat_vs_zero_not_finite_cluster", f"{_ODD_ONE} {_shown(oracle.cluster_stats('one'), 'CAST(g AS BIGINT)')}", lambda s, d: _stat(_odd(s, d), stats.vs_zero("x", cluster="user_id")))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    labels = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("cluster"))
+    return stats.with_labels(e.drop("user_id"), labels, ["event_id"], "cluster")
+
+
+registered("stat_vs_zero_aligned_labels", f"{_ONE} {_shown(oracle.cluster_stats('one'), 'CAST(g AS BIGINT)')}", lambda s, d: _stat(_labelled(s, d), stats.vs_zero("x", cluster="cluster")))
+
+
+def _text_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    return e.withColumn("d", F.date_format("d", "yyyy-MM-dd"))
+
+
+registered("chrono_split_text_dates", f"WITH {oracle.split_days(_DAYS, 0.7)}, {oracle.roles(0, 0)} {_COUNTS}", lambda s, d: _split_counts(_text_days(s, d)))
+
+
+def _mean_and_t(frame) -> stats.StatResult:
+    """A statistic as a caller may write it, on a pandas frame."""
+    x = frame["x"].to_numpy()
+    n, mean = len(x), float(x.mean())
+    t = mean / (float(x.std(ddof=1)) / n**0.5)
+    return stats.StatResult(mean, t, n, abs(t) >= 2.0, None, float(n - 1))
+
+
+registered(
+    "walk_forward_callers_statistic", oracle.walk_forward(45),
+    lambda s, d: walk_forward(events(s, d), "d", _mean_and_t).select(
+        "verdict", F.col("train.n").alias("n_train"), F.col("test.n").alias("n_test"), r6("train.mean", "train_mean"), r6("test.mean", "test_mean"), r6("train.t_stat", "train_t"),
+        r6("test.t_stat", "test_t"), r6("retention_ratio"), "sign_flipped", "n_purged_train", "n_embargoed_test",
+    ),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk-forward verdict of the events' values less 45, by day."""
     return _walk(spark, sf_dir)

@@ -1,7 +1,9 @@
 """An append-and-deduplicate keyed store in CSV, the freshest row of a key winning.
 
-The store is a folder (or a single file) of CSV parts with a header.  A write goes to a sibling folder and is
-swapped in by renames, so a job that dies leaves the old store or the new one.
+The store is a folder (or a single file) of CSV parts with a header.  A write goes to a sibling folder; then the
+store is renamed to ``<path>.old``, the new one takes its place and the old one goes.  A job that dies between the
+two renames leaves the rows in ``<path>.old``: whoever looks at the store next moves them back first.  So the old
+rows or the new ones are always there.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 log = logging.getLogger(__name__)
-#: Texts that a reload takes for missing.
-MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "none", "<NA>", "n/a", "#N/A")
+# The texts that a reload takes for missing, as they are (blanks around them make them other texts).
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 class CorruptStoreError(ValueError):
@@ -78,8 +83,18 @@ class KeyedStore:
     def _path(self, text: str):
         return self._jvm.org.apache.hadoop.fs.Path(text)
 
+    def _rename(self, source, target) -> None:
+        if not self._fs.rename(source, target):
+            raise OSError(f"{source} cannot be moved to {target}")
+
     def exists(self) -> bool:
-        return self._fs.exists(self._at)
+        if self._fs.exists(self._at):
+            return True
+        old = self._path(f"{self.path}.old")
+        if not self._fs.exists(old):
+            return False
+        self._rename(old, self._at)  # a write died between its two renames
+        return True
 
     def size(self) -> int:
         return self._fs.getContentSummary(self._at).getLength()
@@ -96,7 +111,7 @@ class KeyedStore:
         data = self.spark.read.schema(wide).options(**(options | {"enforceSchema": True})).csv(self.path)
         if not data.where("`__extra` is not null").isEmpty():
             raise CorruptStoreError(f"{self.path} has rows with more fields than its header")
-        text = {n: F.when(~F.trim(F.col(f"`{n}`")).isin(*MISSING), F.col(f"`{n}`")) for n in names}
+        text = {n: F.when(~F.col(f"`{n}`").isin(*MISSING), F.col(f"`{n}`")) for n in names}
         return self._typed(data.select(*(text[n].alias(n) for n in names)))
 
     def _typed(self, df: DataFrame) -> DataFrame:
@@ -111,25 +126,24 @@ class KeyedStore:
 
     def quarantine(self) -> str:
         backup = f"{self.path}.corrupt-{datetime.now():%Y%m%dT%H%M%S%f}"
-        self._fs.rename(self._at, self._path(backup))
+        self._rename(self._at, self._path(backup))
         return backup
 
     def write(self, df: DataFrame) -> None:
         """Write beside the store, then swap; nothing is left behind if the write fails."""
-        staged, old = f"{self.path}.tmp-{datetime.now():%Y%m%dT%H%M%S%f}", f"{self.path}.old"
+        staged, old = self._path(f"{self.path}.tmp-{datetime.now():%Y%m%dT%H%M%S%f}"), self._path(f"{self.path}.old")
         try:
-            df.write.options(header=True, nullValue="", emptyValue="", escape='"').csv(staged)
-            self._fs.delete(self._path(f"{staged}/_SUCCESS"), False)
-            if self.exists():
-                self._fs.delete(self._path(old), True)
-                self._fs.rename(self._at, self._path(old))
-            if not self._fs.rename(self._path(staged), self._at):
-                raise OSError(f"{staged} cannot be moved to {self.path}")
-            self._fs.delete(self._path(old), True)
+            form = {"header": True, "nullValue": "", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+            df.write.options(**form).csv(staged.toString())
+            self._fs.delete(self._path(f"{staged.toString()}/_SUCCESS"), False)
+            if self.exists():  # from here on ``old`` is what an earlier write has replaced
+                self._fs.delete(old, True)
+                self._rename(self._at, old)
+            self._rename(staged, self._at)
+            self._fs.delete(old, True)
         except Exception:
-            self._fs.delete(self._path(staged), True)
-            if not self.exists() and self._fs.exists(self._path(old)):
-                self._fs.rename(self._path(old), self._at)
+            self._fs.delete(staged, True)
+            self.exists()
             raise
 
 
