@@ -4,6 +4,7 @@ Python workers, joins on hot keys."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
@@ -89,6 +90,15 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def trim() -> None:
+    """Hand free memory of a Python worker back: idle workers stay beside the next stage's tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def computed(df: DataFrame, carried: list[str], inputs: list[str], compute: Callable[..., list[tuple]], added: dict[str, str]) -> DataFrame:
     """The columns ``carried`` and ``added`` (name to type), one row per row.
 
@@ -105,6 +115,7 @@ def computed(df: DataFrame, carried: list[str], inputs: list[str], compute: Call
                 columns = zip(*rows, strict=True)
                 arrays = [part.column(c) for c in carried] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carried, *added])
+        trim()
 
     fields = [df.schema[c] for c in carried] + [T.StructField(n, T.DataType.fromDDL(k)) for n, k in added.items()]
     return df.select(*dict.fromkeys([*carried, *inputs])).mapInArrow(run, T.StructType(fields))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, bounded_sample, computed
+from .common import SLICE, bounded_sample, computed, trim
 
 UNKNOWN = "und"
 #: Bounds on the training sample.
@@ -215,5 +215,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), SLICE):
                 part = batch.slice(at, SLICE)
                 yield part.filter(pa.array([not shared.value.predict(t)[2] for t in part.column("text").to_pylist()], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(accepted, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE, TEXTS, computed, materialise, text_or_empty
+from .common import SLICE, TEXTS, computed, materialise, text_or_empty, trim
 from .tokens import encoder, vocabulary
 
 CAPACITY = 4096
@@ -129,6 +129,7 @@ def _pack_partition(batches: Iterator[pa.RecordBatch], path: str, capacity: int,
         rows += [_bin_row(grp, base + k, True, items) for k, items in enumerate(held)]
         for at in range(0, len(rows), 2000):
             yield _batch(rows[at : at + 2000])
+    trim()
 
 
 def _merge_group(table: pa.Table, level: int, capacity: int, last: bool) -> pa.Table:
